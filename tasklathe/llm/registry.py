@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bin_packing, secret_scan, source_mixing
 from .jaccard_join import jaccard_classes
+from .piece_codec import encode_texts
 from .sparkio import table
 
 
@@ -15,11 +18,47 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    packed = bin_packing.assign(docs, F.col("size"), F.col("digest"), bins=16)
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    small = docs.select("doc_id", "source", source_mixing.words(F.col("text")).alias("words"))
+    mixed = source_mixing.mix(small, F.col("words"), source_mixing.quality(F.col("words")), rows=docs.count())
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secret_scan.count(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    digest = F.sha2(secret_scan.span_text(F.col("base_spans")).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path)
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op7_sharding": op7_sharding,
+        "op8_source_mixing": op8_source_mixing,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_source_mixing": source_mixing.ORACLE,
+    }
