@@ -21,12 +21,16 @@ can only have partners with which it shares at least ``ceil(num * n / den)``.
 6. The boundary is where enumerated subsets and scanned list entries together
    are fewest, from a histogram of the sets up to 32 shingles.
 
-Links within a list are not expanded into all pairs.  Each list first pairs its
-members with one centre (a different one in each list); pairs are tested, and
-linked sets merge.  Only pairs of a list whose members are still in different
-components are then tested one by one, those that size and position rule out
-left aside.  So copies cost their number and no link between different
-components is lost.
+Links within a list are not expanded into all pairs.  Every member of a list is
+compared with the list's centre: linked if near enough, and in any case its
+difference from the centre's shared shingles and that difference's size d are
+known.  For two members |x - y| = d(x) + d(y) - 2 * |diff(x) & diff(y)|, with
+x - y the symmetric difference.  Where d(x) + d(y) alone is small enough the pair
+is linked; all such pairs are, once each member is tested so with the nearest
+one.  Any other pair needs differences in common, so what is left is an inverted
+list over differences, rare first and by the same prefix and position rules,
+between members of different components.  Copies and near copies cost their number, and no link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ NUM, DEN = 4, 5
 #: Sets of at most so many shingles can be enumerated.
 SMALL_MOST = 32
 #: Bytes of text handled at a time in a map task.
-_SLICE = 1 << 24
+_SLICE = 1 << 23
 
 
 def least_shared(n: int) -> int:
@@ -240,18 +244,15 @@ def _small_links(small: DataFrame) -> DataFrame:
     return met.join(centre, "subset").where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of candidate pairs (x, y), those whose shared shingles are enough."""
+def _shared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (x, y) with ``xn``, ``yn``, ``xi``, ``yi`` and the number of shingles they share, ``both``."""
     x = classes.select(F.col("key").alias("x"), F.col("n").alias("xn"), F.col("items").alias("xi"))
     y = classes.select(F.col("key").alias("y"), F.col("n").alias("yn"), F.col("items").alias("yi"))
-    enough = (NUM + DEN) * F.size(F.array_intersect("xi", "yi")) >= NUM * (F.col("xn") + F.col("yn"))
-    return pairs.join(x, "x").join(y, "y").where(enough).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs.join(x, "x").join(y, "y").withColumn("both", F.size(F.array_intersect("xi", "yi")))
 
 
-def _possible(x: str, y: str):
-    """A pair that meets at a posted shingle can be linked by its sizes and by what either has from there on."""
-    ahead = F.least(F.col(f"{x}.shared") - F.col(f"{x}.place"), F.col(f"{y}.shared") - F.col(f"{y}.place"))
-    return (NUM + DEN) * ahead >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+#: A pair is linked: num/den of its union is shared.
+_ENOUGH = f"{NUM + DEN} * both >= {NUM} * (xn + yn)"
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -259,21 +260,30 @@ def links(classes: DataFrame) -> DataFrame:
     sizes = classes.where(F.col("n") <= SMALL_MOST).groupBy("n", "shared").agg(F.count(F.lit(1)), F.sum("scan"))
     small_to = boundary([tuple(r) for r in sizes.collect()])  # SMALL_MOST squared rows at most
     found = _small_links(classes.where(F.col("n") <= small_to))
-    posting = classes.where(F.col("n") >= least_shared(small_to + 1)).select("key", "n", "shared", F.posexplode(F.slice("items", 1, F.col("posted"))).alias("place", "item"))
-    large = F.col("n") > small_to
-    lists = posting.groupBy("item").agg(F.count(F.lit(1)).alias("met"), F.max(large).alias("large")).where("met > 1 AND large").select("item")
-    posting = durable(posting.join(lists, "item"))
-    centre = posting.groupBy("item").agg(F.min_by(F.struct("key", "n", "shared", "place"), F.xxhash64("item", "key")).alias("c"))
-    first = posting.alias("x").join(centre, "item").where(F.col("x.key") != F.col("c.key")).where(_possible("x", "c"))
-    pairs = first.select(F.greatest("x.key", "c.key").alias("x"), F.least("x.key", "c.key").alias("y")).distinct()
-    roots = components(found.union(_verified(pairs, classes)))
-
-    told = posting.join(roots, F.col("key") == F.col("node"), "left").select("item", "key", "n", "shared", "place", F.coalesce("root", "key").alias("root"))
-    mixed = told.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("item")
-    open_ = told.join(mixed, "item")
-    apart = (F.col("x.item") == F.col("y.item")) & (F.col("x.root") < F.col("y.root")) & _possible("x", "y")
-    rest = open_.alias("x").join(open_.alias("y"), apart).select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
-    more = durable(_verified(rest, classes))
+    posting = classes.where(F.col("n") >= least_shared(small_to + 1)).select("key", (F.col("n") > small_to).alias("large"), F.explode(F.slice("items", 1, F.col("posted"))).alias("item"))
+    centre = posting.groupBy("item").agg(F.min_by("key", F.xxhash64("key")).alias("c"), F.count(F.lit(1)).alias("met"), F.max("large").alias("large")).where("met > 1 AND large").select("item", "c", "met")
+    seen = posting.join(centre, "item").where("key <> c").groupBy(F.col("key").alias("x"), F.col("c").alias("y")).agg(F.max("met").alias("met"))
+    compared = durable(_shared(seen, classes).withColumn("d", F.col("xn") + F.size("yi") - 2 * F.col("both")).withColumn("f", (NUM + DEN) * F.col("d") - (DEN - NUM) * F.col("xn")))
+    nearest = compared.groupBy("y").agg(F.min_by(F.struct("x", "f"), "f").alias("z"))
+    both_near = compared.join(nearest, "y").where(F.col("f") + F.col("z.f") <= 0).where(F.col("x") != F.col("z.x")).select(F.col("x").alias("a"), F.col("z.x").alias("b"))
+    roots = components(found.union(compared.where(_ENOUGH).select(F.col("x").alias("a"), F.col("y").alias("b"))).union(both_near))
+
+    # What the centres didn't link: partners share a difference from the centre.
+    apart = compared.where("met > 2").join(roots.select(F.col("node").alias("x"), F.col("root").alias("xr")), "x", "left")
+    apart = apart.select("x", F.col("y").alias("c"), F.col("xn").alias("n"), F.coalesce("xr", "x").alias("root"), "d", F.array_sort(F.concat(F.array_except("xi", "yi"), F.array_except("yi", "xi"))).alias("diff"))
+    mixed = apart.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
+    in_common = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * (DEN / NUM - 1)))
+    apart = apart.join(mixed, "c")
+    single = apart.select("x", "c", F.explode("diff").alias("item"))
+    often = single.groupBy("c", "item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = single.join(often, ["c", "item"]).groupBy("x", "c").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("diff"))
+    apart = apart.drop("diff").join(ranked, ["x", "c"]).withColumn("size", F.size("diff"))
+    posted = apart.select("x", "c", "n", "root", "d", "size", F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), (F.col("size") - in_common + 1).cast("int")))).alias("place", "item")).withColumn("item", F.col("item.item"))
+    ahead = F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place"))
+    able = 2 * (NUM + DEN) * ahead >= (NUM + DEN) * (F.col("p.d") + F.col("q.d")) - (DEN - NUM) * (F.col("p.n") + F.col("q.n"))
+    met = posted.alias("p").join(posted.alias("q"), (F.col("p.c") == F.col("q.c")) & (F.col("p.item") == F.col("q.item")) & (F.col("p.root") < F.col("q.root")) & able)
+    pairs = met.select(F.greatest("p.x", "q.x").alias("x"), F.least("p.x", "q.x").alias("y")).distinct()
+    more = durable(_shared(pairs, classes).where(_ENOUGH).select(F.col("x").alias("a"), F.col("y").alias("b")))
     if more.isEmpty():
         return roots
     return components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
