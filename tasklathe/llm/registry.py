@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, secret_scan, source_mixing
+from . import bin_packing, maxscore, quality_rules, secret_scan, source_mixing, toxicity
 from .jaccard_join import jaccard_classes
 from .piece_codec import encode_texts
 from .sparkio import table
@@ -18,6 +18,23 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.labelled_part(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
@@ -51,6 +68,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_maxscore_topk": op3_maxscore_topk,
+        "op4_toxicity": op4_toxicity,
+        "op6_quality_rules": op6_quality_rules,
         "op7_sharding": op7_sharding,
         "op8_source_mixing": op8_source_mixing,
         "op9_secret_scan": op9_secret_scan,
@@ -60,5 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_maxscore_topk": maxscore.ORACLE,
         "op8_source_mixing": source_mixing.ORACLE,
     }

@@ -77,9 +77,17 @@ def blocks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         row = min(end, rows)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each row the index of its first word (one more at the end)."""
-    mask = _IS_WORD[data]
+#: Bytes of letters and digits, and of anything beyond ASCII.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each row the index of its first word (one more at the end).
+
+    ``inside`` tells for each byte whether words hold it.
+    """
+    mask = inside[data]
     first, last = mask.copy(), mask.copy()
     if len(data):
         first[1:] &= ~mask[:-1]
