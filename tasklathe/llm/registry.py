@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, maxscore, quality_rules, secret_scan, source_mixing, toxicity
+from . import bin_packing, maxent_lm, maxscore, preference_pairs, quality_rules, secret_scan, source_mixing, toxicity
 from .jaccard_join import jaccard_classes
 from .piece_codec import encode_texts
 from .sparkio import table
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n (chosen) and 2n + 1 (rejected) are pair n."""
+    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
+    side = F.pmod(F.col("conv_id"), F.lit(2))
+    return preference_pairs.masked_turns(turns.where(side == 0), turns.where(side == 1))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -30,6 +37,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = maxent_lm.score(table(spark, sf_dir, "documents"), ~maxent_lm.held_out(F.col("doc_id")))
+    return scored.select("doc_id", maxent_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,9 +79,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_preference_pairs": op1_preference_pairs,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_maxscore_topk": op3_maxscore_topk,
         "op4_toxicity": op4_toxicity,
+        "op5_maxent_lm": op5_maxent_lm,
         "op6_quality_rules": op6_quality_rules,
         "op7_sharding": op7_sharding,
         "op8_source_mixing": op8_source_mixing,
@@ -80,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_preference_pairs": preference_pairs.ORACLE,
         "op3_maxscore_topk": maxscore.ORACLE,
         "op8_source_mixing": source_mixing.ORACLE,
     }
