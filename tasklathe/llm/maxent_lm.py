@@ -286,9 +286,13 @@ def hashed_features(types: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (np.stack(parts, axis=1) & U64(FEATURES - 1)).astype(np.int64)
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def logits(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Class scores of histories, held within what single-precision exponentials bear."""
+    out = weights.take(rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        out += weights.take(rows[:, k], axis=0)
+    out += prior
+    return np.clip(out, -60, 60, out=out)
 
 
 def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray):
@@ -303,13 +307,15 @@ def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray):
             wanted, rows = classes[types], hashed_features(types, at)
             for i in range(0, len(types), BATCH):
                 which, goal = rows[i : i + BATCH], wanted[i : i + BATCH]
-                slope = np.exp(log_softmax(weights[which].sum(axis=1) + prior)).astype(np.float32)
+                slope = np.exp(logits(weights, which, prior))
+                slope /= slope.sum(axis=1, keepdims=True)
                 slope[np.arange(len(goal)), goal] -= 1
                 flat = which.ravel()
                 order = np.argsort(flat.astype(np.uint16), kind="stable")
                 flat = flat[order]
                 starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                summed = np.add.reduceat(slope[order // which.shape[1]], starts, axis=0)
+                by_class = np.ascontiguousarray(slope.T).take(order // which.shape[1], axis=1)
+                summed = np.add.reduceat(by_class, starts, axis=1).T  # along classes' rows, which is the quick way
                 touched = flat[starts]
                 steep[touched] += (summed**2).mean(axis=1, keepdims=True)
                 weights[touched] -= RATE * summed / np.sqrt(steep[touched])
@@ -334,8 +340,9 @@ class Model:
         out, wanted, rows = np.zeros(len(types)), self.classes[types], hashed_features(types, at)
         for i in range(0, len(types), BATCH):
             which, goal = rows[i : i + BATCH], wanted[i : i + BATCH]
-            told = log_softmax(self.weights[which].sum(axis=1) + self.prior)
-            out[i : i + BATCH] = told[np.arange(len(goal)), goal] / np.log(10)
+            told = logits(self.weights, which, self.prior)
+            own = told[np.arange(len(goal)), goal].astype(np.float64)
+            out[i : i + BATCH] = (own - np.log(np.exp(told, out=told).sum(axis=1, dtype=np.float64))) / np.log(10)
         return out - self.size[wanted]
 
 
