@@ -32,7 +32,7 @@ from . import wordbuf
 
 SPACE = "▁"
 #: Cuts that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _SLICE = 1 << 21
 
 
@@ -151,9 +151,20 @@ class PieceCodec:
                 raise ValueError(f"ids or decoded text differ from the sentencepiece library for {text[:80]!r}")
 
 
+_CODECS: dict[bytes, PieceCodec] = {}
+
+
+def _codec(model: bytes) -> PieceCodec:
+    """The worker's codec of a model, kept with its cuts from task to task."""
+    if model not in _CODECS:
+        _CODECS.clear()
+        _CODECS[model] = PieceCodec(model)
+    return _CODECS[model]
+
+
 def _run(model: bytes, text_col: str, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = _codec(model)
         for batch in batches:
             texts = batch.column(text_col).fill_null("")
             _, offsets = wordbuf.utf8(texts)
