@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import scatter, wordbuf
 from .components import components
-from .sparkio import durable, width
+from .sparkio import durable, free_shuffles, width
 from .wordbuf import U64
 
 WORDS = 5
@@ -290,13 +290,13 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Near-duplicate groups of whole texts: every row's id, ``n_shingles``, ``set_key`` and ``component_id``.
+    """Near-duplicate groups of whole texts: every row's id, ``n_shingles``, ``set_key``, ``class_key`` and ``component_id``.
 
     docs has ``id_col`` (long) and ``text``; other columns that aren't named
-    ``n_shingles``, ``set_key`` or ``component_id`` are carried along.  Sets are
-    of distinct 5-word shingles with A-Z folded, and texts link at a Jaccard
+    those names are carried along.  Sets are of distinct 5-word shingles with A-Z folded, and texts link at a Jaccard
     similarity of 0.8 or more.  component_id is the smallest id reachable by
-    links.
+    links; class_key names the component where ids are null, and is null for
+    texts without shingles.
 
     Null, empty and blank texts have no shingles, link with nothing and are
     their own component.  Texts of fewer than five words have one shingle.
@@ -311,9 +311,29 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     blocks = docs.select("text").mapInArrow(_scatter_sets(ranges), _BLOCK)
     shared = blocks.groupBy("part").applyInArrow(_share(ranges), _SHARED)
     classes = durable(shared.groupBy("part").applyInArrow(_gather, _CLASS))
+    del blocks, shared
+    free_shuffles(spark)
     roots = links(classes)
     lowest = ids.where("n_shingles > 0").groupBy("set_key").agg(F.min(id_col).alias("low"))
-    rooted = lowest.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "low", F.coalesce("root", "set_key").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("set_key", "component_id")
+    rooted = lowest.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "low", F.coalesce("root", "set_key").alias("class_key"))
+    named = rooted.join(rooted.groupBy("class_key").agg(F.min("low").alias("component_id")), "class_key").select("set_key", "class_key", "component_id")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col))
     return ids.join(named, "set_key", "left").withColumn("component_id", own)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id, and of repeats of that the text with the smallest hash.
+
+    docs has ``doc_id`` and ``text``.  Texts without shingles link with nothing:
+    they all stay, but for repeats of an id.
+    """
+    mark = F.xxhash64("text").alias("__mark")
+    ids = durable(jaccard_classes(docs.select("doc_id", mark, "text")))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    first = ids.groupBy("class_key", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__mark")).alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("__id"), F.col("first.__mark").alias("__keep")).distinct()
+    marked = docs.withColumn("__mark", mark)
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__keep")), "left_semi")
+    if not ids.groupBy("doc_id", "__mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__mark"])
+    return kept.drop("__mark")

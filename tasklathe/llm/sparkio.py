@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the session's checkpoint folder and cut its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, ``spark.checkpoint.dir``, which executors share.
 
-    The folder is ``spark.checkpoint.dir``, which executors share; only where
-    that is unset (tests on one machine) a temporary folder of our own is used.
-    A lost executor costs nothing: the data is read from the shared folder.
+    Only where that is unset (tests on one machine) a temporary folder of our own
+    is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
             if not _OWN_DIR:
                 _OWN_DIR.append(tempfile.mkdtemp(prefix="checkpoints-"))
             configured = _OWN_DIR[0]
         context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared folder and cut its lineage.
+
+    A lost executor costs nothing: the data is read from the shared folder.
+    """
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of frames that are no longer held, rather than whenever the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session, ``least`` at the minimum."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -231,20 +231,20 @@ def labelled_part(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
 
 
-def _score(model: Model):
+def _score(model: Model, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column("text")))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column("text")))], names=[*batch.schema.names, out])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (a column ``text``, and any others) with ``score``, from 0 to 1; a column of that name is replaced.
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` (a column ``text``, and any others) with ``out``, from 0 to 1; a column of that name is replaced.
 
     Whole texts are scored.  Null and empty texts get the model's constant.
     Repeated rows get equal scores; an empty table stays empty.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(out)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(model), f"{kept}, score double")
+    return docs.mapInArrow(_score(model, out), f"{kept}, `{out}` double")
