@@ -33,14 +33,19 @@ def active_workers(workers: DataFrame) -> DataFrame:
     return workers.where(liveness(F.col("heartbeat_age_s")) != "Dead").agg(F.count(F.lit(1)).alias("value"))
 
 
+def _percentiles(millis, marks: tuple[float, ...]) -> list:
+    """Exact percentiles, to whole milliseconds."""
+    return [F.round(F.percentile(millis, m)).cast("long").alias(f"p{round(m * 100)}") for m in marks]
+
+
 def dispatch_latency(tasks: DataFrame, runs: DataFrame, marks: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """Exact percentiles of first start less creation, in milliseconds, by queue (an extension: the source sends 0)."""
     first = runs.where("attempt_number = 1").select(F.col("task_id").alias("id"), "started_at")
     wait = to_millis(F.col("started_at")) - to_millis(F.col("created_at"))
-    return tasks.join(first, "id").groupBy("queue_name").agg(*[F.percentile(wait, m).alias(f"p{round(m * 100)}") for m in marks], F.count(F.lit(1)).alias("n"))
+    return tasks.join(first, "id").groupBy("queue_name").agg(*_percentiles(wait, marks), F.count(F.lit(1)).alias("n"))
 
 
 def run_duration(runs: DataFrame, marks: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """Exact percentiles of completion less start, in milliseconds, by state (an extension: the source never records it)."""
     took = to_millis(F.col("completed_at")) - to_millis(F.col("started_at"))
-    return runs.where("completed_at IS NOT NULL").groupBy("status").agg(*[F.percentile(took, m).alias(f"p{round(m * 100)}") for m in marks], F.count(F.lit(1)).alias("n"))
+    return runs.where("completed_at IS NOT NULL").groupBy("status").agg(*_percentiles(took, marks), F.count(F.lit(1)).alias("n"))

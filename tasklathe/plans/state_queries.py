@@ -315,7 +315,7 @@ def metrics_active_workers(v):
     return N.active_workers(v.workers)
 
 
-PCT = ", ".join(f"quantile_cont({{0}}, {m})::DOUBLE AS p{round(m * 100)}" for m in (0.5, 0.9, 0.99))
+PCT = ", ".join(f"round(quantile_cont({{0}}, {m}))::BIGINT AS p{round(m * 100)}" for m in (0.5, 0.9, 0.99))
 
 
 @query("tasks", "runs", sql=f"SELECT queue_name, {PCT.format('w')}, count(*) AS n FROM (SELECT t.queue_name, (epoch_ms(r.started_at) - epoch_ms(t.created_at))::DOUBLE AS w FROM tasks t JOIN runs r ON r.task_id = t.id WHERE r.attempt_number = 1) GROUP BY queue_name")
@@ -369,3 +369,19 @@ def first_signal_by_name(v):
 def signals_on_dispatch(v):
     """Signals that go out with new assignments."""
     return v.signals.where("status = 'PENDING'").join(_assignments(v).select("task_id"), "task_id").select("id", "task_id")
+
+
+@query("tasks", sql="SELECT id AS task_id, attempt_count::BIGINT * 2 AS doubled FROM tasks WHERE status = 'RUNNING' AND attempt_count > 0")
+def handler_udf(v):
+    """A user handler that doubles its input, and fails for good where there is nothing to double."""
+    from ..functions import json_field
+    from ..udf import HandlerError, run_handlers
+
+    def double(context):
+        n = context.input()["n"]
+        if n == 0:
+            raise HandlerError("nothing to double", retryable=False)
+        return {"n": 2 * n}
+
+    todo = v.tasks.where("status = 'RUNNING'").select(F.col("id").alias("task_id"), F.concat("id", F.lit("-run")).alias("run_id"), F.to_json(F.struct(F.col("attempt_count").alias("n"))).alias("input"))
+    return run_handlers(todo, double).where("success").select("task_id", json_field(F.col("output"), "$.n", "bigint").alias("doubled"))
