@@ -53,6 +53,12 @@ class Rule:
         return held | (F.col("n_words") < self.least_words)
 
 
+    def sql(self) -> str:
+        value = f"{self.top}::DOUBLE / greatest({self.bottom}, 1)" if self.bottom else self.top
+        bounds = [f"{value} >= {self.low}::DOUBLE"] * (self.low is not None) + [f"{value} <= {self.high}::DOUBLE"] * (self.high is not None)
+        return f"(({' AND '.join(bounds)}) OR n_words < {self.least_words})"
+
+
 RULES = (
     Rule("words", "n_words", None, 20, 200_000),
     Rule("mean word length", "word_chars", "n_words", 2.0, 20.0),
@@ -122,3 +128,23 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     counted = count_columns(docs, text_col).drop("base_failed", "kept")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)
+), c AS (
+  SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, i + unnest(range(8)) AS spot FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1)) GROUP BY doc_id
+), n AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+    len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{w}'" for w in STOP_WORDS)}], x))) AS n_stop_words, len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_adjacent_words, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•·]'))) AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines
+  FROM d LEFT JOIN c USING (doc_id)
+), f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {" AND ".join(r.sql() for r in RULES)}) AS kept FROM f
+"""

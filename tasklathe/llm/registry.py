@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, maxent_lm, maxscore, preference_pairs, quality_rules, secret_scan, source_mixing, toxicity
+from . import bin_packing, jaccard_join, maxent_lm, maxscore, preference_pairs, quality_rules, secret_scan, source_mixing, toxicity
 from .jaccard_join import jaccard_classes
 from .piece_codec import encode_texts
 from .sparkio import table
@@ -95,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_preference_pairs": preference_pairs.ORACLE,
+        "op2_ngram_jaccard_join": jaccard_join.ORACLE,
         "op3_maxscore_topk": maxscore.ORACLE,
+        "op6_quality_rules": quality_rules.ORACLE,
         "op8_source_mixing": source_mixing.ORACLE,
+        "op9_secret_scan": secret_scan.ORACLE,
     }

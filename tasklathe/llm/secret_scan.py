@@ -31,7 +31,7 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 
 WEAK_ID = r"""(?i)\b(access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+WEAK_SECRET, WEAK_SECRET_FORM = r"[A-Za-z0-9+/_=-]{20,}", r"^[A-Za-z0-9+/_-]{20,}={0,2}$"
 ENDPOINT = r"""\b(https?|s3|ftp|postgres(ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]{4,}"""
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
     found = found.withColumn(names["weak_id"], _apart(c["weak_id"], names["assign"], names["access"], names["hex"]))
     found = found.withColumn(names["ids"], F.concat(c["access"], c["weak_id"]))
-    mixed = lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Z]") & s["found"].rlike("[a-z]")
+    mixed = lambda s: s["found"].rlike(WEAK_SECRET_FORM) & s["found"].rlike("[0-9]") & s["found"].rlike("[A-Z]") & s["found"].rlike("[a-z]")
     found = found.withColumn(names["weak_secret"], _spans(t, WEAK_SECRET, F.size(names["ids"]) > 0))
     found = found.withColumn(names["weak_secret"], F.filter(_apart(c["weak_secret"], names["assign"], names["access"], names["hex"], names["weak_id"]), lambda s: mixed(s) & F.exists(names["ids"], lambda i: _near(s, i))))
     found = found.withColumn(names["secrets"], F.concat(c["assign"], c["hex"], c["weak_secret"]))
@@ -126,3 +126,35 @@ def redact(text: Column, spans: Column) -> Column:
     )
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)).otherwise(text)
+
+
+def _sql_spans(pattern: str, kind: int, text: str = "t") -> str:
+    """A list of (start, kind, end, found) of the matches, in comparison SQL."""
+    p = pattern.replace("'", "''")
+    part = "(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INTEGER"
+    return f"list_transform(range(1, len(m) + 1), lambda i: {{'start': {part}, 'kind': {kind}, 'stop': {part} + length(m[i]), 'found': m[i]}}) FROM (SELECT doc_id, regexp_extract_all({text}, '{p}') AS m, regexp_split_to_array({text}, '{p}') AS p FROM d)"
+
+
+def _oracle() -> str:
+    near = "s.start <= x.stop + {0} AND x.start <= s.stop + {0}".format(SCOPE)
+    apart = "NOT EXISTS (SELECT 1 FROM {0} x WHERE x.doc_id = s.doc_id AND s.start < x.stop AND x.start < s.stop)"
+    with_ = lambda t: f"EXISTS (SELECT 1 FROM {t} x WHERE x.doc_id = s.doc_id AND {near})"
+    raw = ", ".join(f"r{k} AS (SELECT doc_id, unnest(l, recursive := true) FROM (SELECT doc_id, {_sql_spans(p, k).replace(' FROM (SELECT', ' AS l FROM (SELECT', 1)}))" for k, p in enumerate((ASSIGN, ACCESS, HEX, WEAK_ID, WEAK_SECRET, ENDPOINT)))
+    value = ASSIGN.replace("'", "''")
+    mixed = f"regexp_matches(found, '{WEAK_SECRET_FORM}') AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]')"
+    joined = lambda t: f"SELECT doc_id, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS j FROM (SELECT *, [{', '.join(repr(k) for k in KINDS)}][kind + 1] AS name FROM {t}) GROUP BY doc_id"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(KINDS[:3]))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {raw},
+base AS (SELECT * FROM r0 WHERE length(regexp_extract(found, '{value}', 2)) >= {ASSIGN_LEAST} UNION ALL SELECT * FROM r1 WHERE length(found) >= {ACCESS_LEAST} UNION ALL SELECT * FROM r2 WHERE length(found) >= {HEX_LEAST}),
+w3 AS (SELECT * FROM r3 s WHERE {apart.format("base")}), ids AS (SELECT * FROM base WHERE kind = 1 UNION ALL SELECT * FROM w3),
+w4 AS (SELECT * FROM r4 s WHERE {apart.format("base")} AND {apart.format("w3")} AND {mixed} AND {with_("ids")}),
+secrets AS (SELECT * FROM base WHERE kind IN (0, 2) UNION ALL SELECT * FROM w4),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM w3 s WHERE {with_("secrets")} UNION ALL SELECT * FROM w4 UNION ALL SELECT * FROM r5 s WHERE {apart.format("base")} AND {with_("ids")} AND {with_("secrets")}),
+n AS (SELECT doc_id, {counts} FROM base GROUP BY doc_id), b AS ({joined("base")}), e AS ({joined("every")})
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.j, '')) AS base_sha256, coalesce(e.j, '') AS spans
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
