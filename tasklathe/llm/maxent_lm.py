@@ -75,10 +75,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray, ranges: int) -> tuple[np.ndarr
 
 def _slices(batches: Iterator[pa.RecordBatch], ranges: int):
     for batch in batches:
-        data, offsets = wordbuf.utf8(batch.column("text"))
-        for a, b in wordbuf.blocks(offsets, _SLICE):
-            part = offsets[a : b + 1]
-            yield batch, a, b, *tokens(data[part[0] : part[-1]], part - part[0], ranges)
+        for a, b, data, offsets in wordbuf.pieces(batch.column("text"), _SLICE):
+            yield batch, a, b, *tokens(data, offsets, ranges)
+    wordbuf.give_back()
 
 
 _TABLE = "kind int, part int, items binary, counts binary, endings binary, total long, kinds long"

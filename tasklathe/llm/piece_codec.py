@@ -31,9 +31,31 @@ from pyspark.sql import DataFrame
 from . import wordbuf
 
 SPACE = "▁"
-#: Cuts that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
-_SLICE = 1 << 21
+#: Cuts that a worker remembers, about.
+REMEMBERED = 500_000
+_SLICE = 1 << 20
+
+
+class _Known(dict):
+    """Ids of the cuts met lately; a new one is encoded when it is first asked for.
+
+    Two generations: what was met in the one before is taken over, and the older
+    one is dropped when the younger is full.
+    """
+
+    def __init__(self, encode, before: dict | None = None) -> None:
+        self.encode, self.before = encode, before or {}
+
+    def __missing__(self, cut: str) -> bytes:
+        ids = self.before.get(cut)
+        if ids is None:
+            ids = self.encode(cut)
+        self[cut] = ids
+        return ids
+
+    def aged(self) -> _Known:
+        self.before = {}
+        return _Known(self.encode, self)
 
 
 class PieceCodec:
@@ -51,6 +73,10 @@ class PieceCodec:
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(self.library.is_byte(i) for i in self.bytes)
         self.begin, self.end, self.unknown = self.library.bos_id(), self.library.eos_id(), self.library.unk_id()
+        packed = lambda i: i.to_bytes(4, "little")
+        self.code = {p: packed(i) for p, i in self.ids.items()}
+        self.byte_code = [packed(i) for i in self.bytes]
+        self.unknown_code, self.marks = packed(self.unknown), (packed(self.begin), packed(self.end))
         self.control = {i for i in range(size) if self.library.is_control(i)}
         self.surface = [self._surface(i) for i in range(size)]
         longer = {c for p in self.ids if len(p) > 1 for c in p}
@@ -60,7 +86,7 @@ class PieceCodec:
         groups = [rf"[^\W\d_{other}]+", rf"(?:[\W\d_{other}](?<![{SPACE}{lone}]))+"]
         cut = "|".join([f"[{lone}]"] * bool(lone) + [f"{SPACE}*{g}" for g in groups] + [f"{SPACE}+"])
         self.cuts = (lambda s: [s]) if inner else re.compile(cut).findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._cut_ids)
 
     def _letters_beside_others(self) -> set[str]:
         """Letters that some piece holds next to another kind of character (a space mark apart), and so on from those."""
@@ -104,33 +130,26 @@ class PieceCodec:
         return [s for s in symbols if s]
 
     def _cut_ids(self, cut: str) -> bytes:
-        out: list[int] = []
+        code, out = self.code, []
         for symbol in self.merge(list(cut)):
-            if (i := self.ids.get(symbol)) is not None:
-                out.append(i)
+            if (packed := code.get(symbol)) is not None:
+                out.append(packed)
             elif self.has_bytes:
-                out += [self.bytes[b] for b in symbol.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return np.array(out, dtype="<u4").tobytes()
+                out += [self.byte_code[b] for b in symbol.encode()]
+            elif not out or out[-1] != self.unknown_code:
+                out.append(self.unknown_code)
+        return b"".join(out)
 
     def encode(self, text: str, marks: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, with begin and end ids if ``marks``."""
         known, body = self.known, b""
         if text:
-            cuts = self.cuts(SPACE + text.replace(" ", SPACE))
-            try:
-                body = b"".join([known[c] for c in cuts])
-            except KeyError:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for c in cuts:
-                    if c not in known:
-                        known[c] = self._cut_ids(c)
-                body = b"".join([known[c] for c in cuts])
+            if len(known) > REMEMBERED // 2:
+                known = self.known = known.aged()
+            body = b"".join(map(known.__getitem__, self.cuts(SPACE + text.replace(" ", SPACE))))
         if not marks:
             return body
-        return np.array([self.begin], dtype="<u4").tobytes() + body + np.array([self.end], dtype="<u4").tobytes()
+        return self.marks[0] + body + self.marks[1]
 
     def decode(self, ids: bytes) -> str:
         """Text of such ids: control ids vanish, byte ids join into characters, the first space mark goes."""
@@ -143,11 +162,14 @@ class PieceCodec:
         return raw.decode("utf-8", errors="replace")
 
     def check(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
-        """Raise where the library gives other ids or another decoded text."""
+        """Raise where the library gives other ids or another decoded text.
+
+        Ids are compared for every text.  A text that comes back as it went in
+        needs no second decoding; the library decodes the others.
+        """
         theirs = self.library.encode(texts, out_type=int, add_bos=True, add_eos=True, num_threads=1)
-        back = self.library.decode(theirs, num_threads=1)
-        for text, own, other, mine, its in zip(texts, ids, theirs, decoded, back, strict=True):
-            if own != np.array(other, dtype="<u4").tobytes() or mine != its:
+        for text, own, other, mine in zip(texts, ids, theirs, decoded, strict=True):
+            if own != np.array(other, dtype="<u4").tobytes() or (mine != text and mine != self.library.decode(other)):
                 raise ValueError(f"ids or decoded text differ from the sentencepiece library for {text[:80]!r}")
 
 
@@ -166,10 +188,8 @@ def _run(model: bytes, text_col: str, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for batch in batches:
-            texts = batch.column(text_col).fill_null("")
-            _, offsets = wordbuf.utf8(texts)
-            for a, b in wordbuf.blocks(offsets, _SLICE):
-                part = texts.slice(a, b - a).to_pylist()
+            for a, b, _, _ in wordbuf.pieces(batch.column(text_col), _SLICE):
+                part = batch.column(text_col).slice(a, b - a).fill_null("").to_pylist()
                 ids = [codec.encode(t) for t in part]
                 decoded = [codec.decode(i) for i in ids]
                 if checked:
@@ -177,6 +197,7 @@ def _run(model: bytes, text_col: str, checked: bool):
                 kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
                 counts = pa.array([len(i) // 4 for i in ids], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([*kept, counts, pa.array(ids, type=pa.binary()), pa.array(decoded, type=pa.string())], names=[*batch.schema.names, "n_tokens", "token_ids", "decoded"])
+        wordbuf.give_back()
 
     return run
 

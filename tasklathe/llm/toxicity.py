@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbuf
+from .sparkio import width
 from .wordbuf import U64
 
 #: Labelled rows that are learnt from, at most.
@@ -100,11 +101,9 @@ class Model:
         return pairs // max(1, len(self.hashes)), pairs % max(1, len(self.hashes))
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        data, offsets = wordbuf.utf8(column)
         out = np.full(len(column), self.constant)
-        for a, b in wordbuf.blocks(offsets):
-            part = offsets[a : b + 1]
-            row, feature = self.hits(data[part[0] : part[-1]], part - part[0])
+        for a, b, data, offsets in wordbuf.pieces(column):
+            row, feature = self.hits(data, offsets)
             out[a:b] += np.bincount(row, weights=self.weights[feature], minlength=b - a) if len(row) else 0.0
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -112,11 +111,9 @@ class Model:
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature -> number of texts that have it, and of toxic ones among them, block by block."""
     for batch in batches:
-        data, offsets = wordbuf.utf8(batch.column("text"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in wordbuf.blocks(offsets):
-            part = offsets[a : b + 1]
-            hashed, rows = features(data[part[0] : part[-1]], part - part[0])
+        for a, b, data, offsets in wordbuf.pieces(batch.column("text")):
+            hashed, rows = features(data, offsets)
             order = np.lexsort((rows, hashed))
             hashed, rows = hashed[order], rows[order]
             new = np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (rows[1:] != rows[:-1])]) if len(hashed) else np.zeros(0, dtype=bool)
@@ -139,8 +136,7 @@ def _hit_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text").fill_null("")
-            _, offsets = wordbuf.utf8(column)
-            for a, b in wordbuf.blocks(offsets):
+            for a, b, _, _ in wordbuf.pieces(column):
                 texts = column.slice(a, b - a).to_pylist()
                 others = [swapped(t) for t in texts]
                 flat = places([x for o in others for x in o])
@@ -200,8 +196,11 @@ def fit(labelled: DataFrame, most: int = LABELLED_MOST) -> Model:
     rows, or none of one label, every text scores near the share of toxic rows.
     """
     rows = labelled.where("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n > most:  # else every row is in the sample, and stays where it is
+        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).repartition(width(labelled.sparkSession))
+        n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows = rows.select("text", "toxic")
     share = min(max(positive / n if n else 0.0, 1e-3), 1 - 1e-3)
     counts = rows.mapInArrow(_tally, "feature long, texts long, toxic long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where(F.col("texts") >= TEXTS_LEAST)
     q = F.col("toxic") / F.col("texts")
@@ -235,6 +234,7 @@ def _score(model: Model, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column("text")))], names=[*batch.schema.names, out])
+        wordbuf.give_back()
 
     return run
 

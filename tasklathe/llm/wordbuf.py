@@ -12,12 +12,15 @@ the word's length by a bijective finaliser.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = U64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,7 +71,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each (one row at least), so temporaries stay small."""
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -82,6 +85,22 @@ LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of at most ``most`` bytes with their bytes and offsets; only one range is held at a time."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    for a, b in blocks(offsets, most):
+        yield a, b, *utf8(column.slice(a, b - a))
+
+
+def give_back() -> None:
+    """Return memory that a worker's task no longer uses to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each row the index of its first word (one more at the end).
 
