@@ -55,6 +55,8 @@ NUM, DEN = 4, 5
 SMALL_MOST = 32
 #: Bytes of text handled at a time in a map task.
 _SLICE = 1 << 23
+#: Shingles in all from which shuffle files are freed as soon as they have served.
+_MANY = 10_000_000
 
 
 def least_shared(n: int) -> int:
@@ -89,13 +91,16 @@ def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Row ranges with their shingle sets."""
-    data, offsets = wordbuf.utf8(texts)
-    for a, b in wordbuf.blocks(offsets, _SLICE):
-        sets: list[np.ndarray] = []
-        for c, d in wordbuf.blocks(offsets[a : b + 1]):
-            part = offsets[a + c : a + d + 1]
-            sets += wordbuf.shingle_sets(data[part[0] : part[-1]], part - part[0], WORDS)
-        yield a, b, sets
+    sets: list[np.ndarray] = []
+    first, held = 0, 0
+    for a, b, data, offsets in wordbuf.pieces(texts):
+        if sets and held + len(data) > _SLICE:
+            yield first, a, sets
+            sets, first, held = [], a, 0
+        sets += wordbuf.shingle_sets(data, offsets, WORDS)
+        held += len(data)
+    if sets:
+        yield first, len(texts), sets
 
 
 def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +110,7 @@ def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [x for x in batch.schema.names if x != "text"]
             sizes = pa.array(np.array([len(s) for s in sets], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([*kept, sizes, pa.array(_fingerprints(sets).view(np.int64))], names=[*names, "n_shingles", "set_key"])
+    wordbuf.give_back()
 
 
 def shingle_keys(docs: DataFrame) -> DataFrame:
@@ -139,6 +145,7 @@ def _scatter_sets(ranges: int):
                     who, counts = scatter.owner_runs(owners[lo:hi])
                     rows.append((part, keys[who].tobytes(), sizes[who].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), scatter.pack48(items[lo:hi])))
                 yield pa.RecordBatch.from_pylist([dict(zip(("part", "keys", "sizes", "counts", "items"), r, strict=True)) for r in rows], schema=_BLOCK_ARROW)
+        wordbuf.give_back()
 
     return run
 
@@ -312,7 +319,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     shared = blocks.groupBy("part").applyInArrow(_share(ranges), _SHARED)
     classes = durable(shared.groupBy("part").applyInArrow(_gather, _CLASS))
     del blocks, shared
-    free_shuffles(spark)
+    if total > _MANY:
+        free_shuffles(spark)
     roots = links(classes)
     lowest = ids.where("n_shingles > 0").groupBy("set_key").agg(F.min(id_col).alias("low"))
     rooted = lowest.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "low", F.coalesce("root", "set_key").alias("class_key"))
@@ -329,6 +337,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     mark = F.xxhash64("text").alias("__mark")
     ids = durable(jaccard_classes(docs.select("doc_id", mark, "text")))
+    if (ids.agg(F.sum("n_shingles")).first()[0] or 0) > _MANY:
+        free_shuffles(docs.sparkSession)
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     first = ids.groupBy("class_key", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__mark")).alias("first"))
     keep = first.select(F.col("first.doc_id").alias("__id"), F.col("first.__mark").alias("__keep")).distinct()
@@ -337,3 +347,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if not ids.groupBy("doc_id", "__mark").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__mark"])
     return kept.drop("__mark")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p WHERE 100 * i >= 80 * (n + m - i) UNION ALL SELECT b, a FROM p WHERE 100 * i >= 80 * (n + m - i)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS c FROM s UNION SELECT l.b, reach.c FROM reach JOIN l ON reach.a = l.a
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, r.c AS component_id FROM s JOIN (SELECT a, min(c) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""

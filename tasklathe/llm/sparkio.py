@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,12 @@ def rewritten(df: DataFrame) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of frames that are no longer held, rather than whenever the driver collects its garbage."""
+    """Let Spark's cleaner remove the shuffle files of frames that are no longer held, rather than whenever the driver collects its garbage.
+
+    Python's references reach the JVM by a background thread, hence the wait.
+    """
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
