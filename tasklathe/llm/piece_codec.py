@@ -14,12 +14,18 @@ characters that no longer piece holds (such as line ends) and between letters
 and others (letters that a piece holds beside another kind count as others).  Each distinct cut is encoded once; the
 result is exactly that of the whole text's agenda.
 
+Short cuts that are new go through the agenda together, as rows of a matrix: in
+each round every row merges its best pair, leftmost among equals, which is the
+order in which its own agenda would pop them.  Longer ones, and cuts with
+characters that are no pieces, have a heap of their own.
+
 Every Arrow batch is checked against the sentencepiece library: a text whose
 ids or decoded text differ from the library's raises an error.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Iterator
@@ -53,11 +59,103 @@ class _Known(dict):
         self[cut] = ids
         return ids
 
+    def new(self, cuts: set[str]) -> set[str]:
+        """Those that neither generation holds; what the older one holds is taken over."""
+        cuts = cuts.difference(self)
+        if self.before:
+            met = cuts.intersection(self.before)
+            self.update((c, self.before[c]) for c in met)
+            cuts -= met
+        return cuts
+
     def aged(self) -> _Known:
         self.before = {}
         return _Known(self.encode, self)
 
 
+#: Cuts of at most so many characters go through the agenda together.
+TOGETHER = 32
+
+
+class _Pairs:
+    """The agenda of many short cuts at once: ids of single characters, and rank and id of every pair that makes a piece."""
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float]) -> None:
+        self.single = np.full(0x110000, -1, dtype=np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        made = [(ids[p[:k]] << 32 | ids[p[k:]], rank[p], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        keys = np.array([m[0] for m in made], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.rank = np.append(np.array([m[1] for m in made], dtype=np.float64)[order], np.inf)
+        self.merged = np.append(np.array([m[2] for m in made], dtype=np.int32)[order], -1)
+        self.bits = max(10, (8 * max(1, len(keys))).bit_length())
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        slot = self._slot(self.keys)
+        self.slots[slot] = np.arange(len(keys))
+        self.shared = np.bincount(slot, minlength=1 << self.bits) > 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair; the last place (rank infinity) for pairs that make no piece."""
+        none = len(self.keys)
+        if not none:
+            return np.zeros(left.shape, dtype=np.int64)
+        keys = (left.astype(np.int64) << 32) | right
+        slot = self._slot(keys.ravel()).reshape(keys.shape)
+        place = self.slots[slot]
+        hit = self.keys[place] == keys
+        again = ~hit & self.shared[slot]
+        if again.any():
+            found = np.minimum(np.searchsorted(self.keys, keys[again]), none - 1)
+            place[again], hit[again] = found, self.keys[found] == keys[again]
+        return np.where(hit, place, none)
+
+    def merge(self, symbols: np.ndarray) -> list[bytes]:
+        """Packed final ids of rows of equally many symbols: in every row the pair of best rank, leftmost among equals, merges until none is left."""
+        out: list[bytes] = [b""] * len(symbols)
+        rows = np.arange(len(symbols))
+        while len(rows):
+            width = symbols.shape[1]
+            if width == 1:
+                best, able = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=bool)
+            else:
+                place = self.find(symbols[:, :-1], symbols[:, 1:])
+                rank = self.rank[place]
+                best = rank.argmin(axis=1)
+                able = np.isfinite(rank[np.arange(len(rows)), best])
+            raw = symbols[~able].astype("<u4").tobytes()
+            for k, i in enumerate(rows[~able].tolist()):
+                out[i] = raw[4 * width * k : 4 * width * (k + 1)]
+            if not able.any():
+                break
+            rows, symbols, best, place = rows[able], symbols[able], best[able], place[able]
+            at = np.arange(len(rows))
+            symbols[at, best] = self.merged[place[at, best]]
+            keep = np.arange(width - 1)[None, :]
+            symbols = np.take_along_axis(symbols, keep + (keep > best[:, None]), axis=1)
+        return out
+
+    def encode(self, cuts: list[str]) -> dict[str, bytes]:
+        """Packed ids of those cuts that are short and made of characters that are pieces."""
+        lengths = np.array(list(map(len, cuts)), dtype=np.int64)
+        points = np.frombuffer("".join(cuts).encode("utf-32-le"), dtype=np.uint32)
+        symbols = self.single[points]
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        whole = np.minimum.reduceat(symbols, starts[:-1]) >= 0 if len(cuts) else np.zeros(0, dtype=bool)
+        out: dict[str, bytes] = {}
+        for n in np.unique(lengths[whole & (lengths <= TOGETHER)]).tolist():
+            some = np.flatnonzero(whole & (lengths == n))
+            done = self.merge(symbols[starts[some][:, None] + np.arange(n)])
+            out.update(zip([cuts[i] for i in some.tolist()], done, strict=True))
+        return out
+
+
 class PieceCodec:
     """Encoder and decoder of one serialised model."""
 
@@ -87,6 +185,7 @@ class PieceCodec:
         cut = "|".join([f"[{lone}]"] * bool(lone) + [f"{SPACE}*{g}" for g in groups] + [f"{SPACE}+"])
         self.cuts = (lambda s: [s]) if inner else re.compile(cut).findall
         self.known = _Known(self._cut_ids)
+        self.pairs = _Pairs(self.ids, self.rank)
 
     def _letters_beside_others(self) -> set[str]:
         """Letters that some piece holds next to another kind of character (a space mark apart), and so on from those."""
@@ -151,6 +250,15 @@ class PieceCodec:
             return body
         return self.marks[0] + body + self.marks[1]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of every text; cuts that are new go through the agenda together."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known = self.known.aged()
+        split = [self.cuts(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.known.update(self.pairs.encode(list(self.known.new(set().union(*split)))))
+        known = self.known.__getitem__
+        return [self.marks[0] + b"".join(map(known, cuts)) + self.marks[1] for cuts in split]
+
     def decode(self, ids: bytes) -> str:
         """Text of such ids: control ids vanish, byte ids join into characters, the first space mark goes."""
         surface = self.surface
@@ -187,16 +295,18 @@ def _codec(model: bytes) -> PieceCodec:
 def _run(model: bytes, text_col: str, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
+        gc.disable()  # lists of ids by the million, none of them in cycles
         for batch in batches:
             for a, b, _, _ in wordbuf.pieces(batch.column(text_col), _SLICE):
                 part = batch.column(text_col).slice(a, b - a).fill_null("").to_pylist()
-                ids = [codec.encode(t) for t in part]
+                ids = codec.encode_all(part)
                 decoded = [codec.decode(i) for i in ids]
                 if checked:
                     codec.check(part, ids, decoded)
                 kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
                 counts = pa.array([len(i) // 4 for i in ids], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([*kept, counts, pa.array(ids, type=pa.binary()), pa.array(decoded, type=pa.string())], names=[*batch.schema.names, "n_tokens", "token_ids", "decoded"])
+        gc.enable()
         wordbuf.give_back()
 
     return run

@@ -63,3 +63,19 @@ def test_null_repeats_and_clashing_columns(spark):
     assert [(r.n_tokens, r.decoded) for r in got][:2] == [(2, ""), (2, "")]
     assert got[2] == got[3] and got[2].decoded == "Hi"
     assert C.encode_texts(frame.limit(0), PATH).count() == 0
+
+
+def test_agenda_of_many_is_each_ones_own(codec):
+    rng = random.Random(3)
+    letters = "thereandingouly▁ 1.,é²"
+    cuts = list({"".join(rng.choice(letters).replace(" ", C.SPACE) for _ in range(rng.randrange(1, 40))) for _ in range(3000)})
+    together = codec.pairs.encode(cuts)
+    assert len(together) > 1500 and all(codec._cut_ids(c) == ids for c, ids in together.items())
+
+
+def test_generations_forget_without_harm(codec, monkeypatch):
+    monkeypatch.setattr(C, "REMEMBERED", 20)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.randrange(99)}x"]) for _ in range(12)) for _ in range(200)]
+    ids = [i for k in range(0, 200, 10) for i in codec.encode_all(texts[k : k + 10])]
+    codec.check(texts, ids, [codec.decode(i) for i in ids])
