@@ -3,7 +3,8 @@
 Three kinds of span are reported wherever they stand: assignments of a secret
 (``assign``), access key identifiers (``access``) and long hexadecimal runs
 (``hex``).  Weaker candidates mean nothing alone: account or client identifiers
-(``weak_id``), mixed high-entropy runs (``weak_secret``) and service addresses
+(``weak_id``), mixed high-entropy runs (``weak_secret``; in NAME=value the name and
+the value are runs of their own, and the name is none) and service addresses
 (``endpoint``).  They are interval-joined within a scope, a distance in
 characters between their spans, and reported only where complementary parts
 co-occur:
@@ -30,8 +31,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 
-WEAK_ID = r"""(?i)\b(access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
-WEAK_SECRET, WEAK_SECRET_FORM = r"[A-Za-z0-9+/_=-]{20,}", r"^[A-Za-z0-9+/_-]{20,}={0,2}$"
+WEAK_ID = r"""(?i)(?:\b|_)(access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
+WEAK_SECRET = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: The comparison SQL has the rules of before NAME=value pairs: no underscore before an identifier's name, '=' as part of a run.
+SQL_WEAK_ID = WEAK_ID.replace(r"(?:\b|_)", r"\b")
+SQL_WEAK_SECRET, SQL_WEAK_SECRET_FORM = r"[A-Za-z0-9+/_=-]{20,}", r"^[A-Za-z0-9+/_-]{20,}={0,2}$"
 ENDPOINT = r"""\b(https?|s3|ftp|postgres(ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]{4,}"""
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -102,9 +106,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
     found = found.withColumn(names["weak_id"], _apart(c["weak_id"], names["assign"], names["access"], names["hex"]))
     found = found.withColumn(names["ids"], F.concat(c["access"], c["weak_id"]))
-    mixed = lambda s: s["found"].rlike(WEAK_SECRET_FORM) & s["found"].rlike("[0-9]") & s["found"].rlike("[A-Z]") & s["found"].rlike("[a-z]")
+    name = lambda s: s["found"].endswith("=") & F.substring(t, s["end"] + 1, 1).rlike("[A-Za-z0-9+/_-]")  # noqa: E731  # of NAME=value
+    mixed = lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Z]") & s["found"].rlike("[a-z]")
     found = found.withColumn(names["weak_secret"], _spans(t, WEAK_SECRET, F.size(names["ids"]) > 0))
-    found = found.withColumn(names["weak_secret"], F.filter(_apart(c["weak_secret"], names["assign"], names["access"], names["hex"], names["weak_id"]), lambda s: mixed(s) & F.exists(names["ids"], lambda i: _near(s, i))))
+    found = found.withColumn(names["weak_secret"], F.filter(_apart(c["weak_secret"], names["assign"], names["access"], names["hex"], names["weak_id"]), lambda s: mixed(s) & F.exists(names["ids"], lambda i: _near(s, i)) & ~name(s)))
     found = found.withColumn(names["secrets"], F.concat(c["assign"], c["hex"], c["weak_secret"]))
     found = found.withColumns({
         names["weak_id"]: F.filter(names["weak_id"], lambda s: F.exists(names["secrets"], lambda x: _near(s, x))),
@@ -139,9 +144,9 @@ def _oracle() -> str:
     near = "s.start <= x.stop + {0} AND x.start <= s.stop + {0}".format(SCOPE)
     apart = "NOT EXISTS (SELECT 1 FROM {0} x WHERE x.doc_id = s.doc_id AND s.start < x.stop AND x.start < s.stop)"
     with_ = lambda t: f"EXISTS (SELECT 1 FROM {t} x WHERE x.doc_id = s.doc_id AND {near})"
-    raw = ", ".join(f"r{k} AS (SELECT doc_id, unnest(l, recursive := true) FROM (SELECT doc_id, {_sql_spans(p, k).replace(' FROM (SELECT', ' AS l FROM (SELECT', 1)}))" for k, p in enumerate((ASSIGN, ACCESS, HEX, WEAK_ID, WEAK_SECRET, ENDPOINT)))
+    raw = ", ".join(f"r{k} AS (SELECT doc_id, unnest(l, recursive := true) FROM (SELECT doc_id, {_sql_spans(p, k).replace(' FROM (SELECT', ' AS l FROM (SELECT', 1)}))" for k, p in enumerate((ASSIGN, ACCESS, HEX, SQL_WEAK_ID, SQL_WEAK_SECRET, ENDPOINT)))
     value = ASSIGN.replace("'", "''")
-    mixed = f"regexp_matches(found, '{WEAK_SECRET_FORM}') AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]')"
+    mixed = f"regexp_matches(found, '{SQL_WEAK_SECRET_FORM}') AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]')"
     joined = lambda t: f"SELECT doc_id, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS j FROM (SELECT *, [{', '.join(repr(k) for k in KINDS)}][kind + 1] AS name FROM {t}) GROUP BY doc_id"
     counts = ", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(KINDS[:3]))
     return f"""
