@@ -3,9 +3,12 @@
 Method.  The probability of a token is that of its class given the tokens before
 it, times that of the token within its class.  The class distribution is a
 softmax over hashed features of the history: the last token, the last two as a
-bigram, and two skips (the second and third last alone).  Within a class, tokens
-follow their add-one counts over the class's total.  Tokens are a text's words
-and one end mark.
+bigram, and two skips (the second and third last alone).  Within a class, the
+dictionary's tokens and one leaf for each ending's rarer ones hang in a Huffman
+tree; every fork is a softmax over its two sides with the same features of the
+history, of the tokens themselves here, hashed together with the fork.  Weights
+of nought would give add-one unigrams.  Rarer tokens follow their add-one counts
+over their ending's total.  Tokens are a text's words and one end mark.
 
 1. Tokens of the training texts are counted in hash ranges (see ``scatter``).
    Tokens above a fixed share of all tokens form the dictionary; a share can be
@@ -20,8 +23,9 @@ and one end mark.
    dictionary tokens are at hand; rarer tokens travel in packed blocks to their
    hash range, meet the count table there, and go back to their text as sums.
 
-Unseen tokens count as one more token of the class of their ending.  The model's
-size is fixed; the counts are of the whole corpus.
+Unseen tokens count as one more rare token of their ending.  The class part's
+size is fixed; the forks follow the dictionary and their slots the number of
+training tokens up to a limit; the counts are of the whole corpus.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ from .wordbuf import U64
 DICTIONARY_SHARE = 2e-6
 TOP_TYPES, ENDINGS, ANCHORS, CLASSES = 4096, 1024, 48, 32
 FEATURES, BATCH, RATE = 1 << 16, 8192, 0.25
+#: Training tokens for each weight of the forks, and the weights at least and at most, as powers of two.
+SLOT_TOKENS, SLOT_BITS = 32, (16, 20)
+INNER_BATCH = 1 << 14
 _SLICE = 1 << 22
 _BLOCKS = 16
 _END = U64(0x5EED0FE4D0C5A11F)
@@ -166,6 +173,10 @@ class Counts:
         known = np.where(place >= 0, self.top[place], -1)
         return np.where(known >= 0, known, TOP_TYPES + ending)
 
+    def leaves(self, place: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        """Leaves of the tree: places of the dictionary, then endings."""
+        return np.where(place >= 0, place, len(self.codes) + ending)
+
     def __getstate__(self):
         return self.__dict__ | {"find": None}
 
@@ -175,27 +186,28 @@ def _dictionary(total: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, items, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "items", "counts")), strict=True):
-                counts = np.frombuffer(counts, dtype=np.int64)
+            for part, items, counts, endings in zip(*(batch.column(c).to_pylist() for c in ("part", "items", "counts", "endings")), strict=True):
+                counts, endings = np.frombuffer(counts, dtype=np.int64), np.frombuffer(endings, dtype=np.uint16).astype(np.int32)
                 often = counts >= least
                 code = scatter.unpack48(items)[often] | (U64(part) << U64(48))
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(counts[often])], names=["code", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(counts[often]), pa.array(endings[often])], names=["code", "count", "ending"])
 
     return run
 
 
 def _rest(counts: Counts):
-    """Per ending: the summed counts plus one of the tokens that aren't types of their own."""
+    """Per ending: the summed counts plus one of tokens that aren't types of their own, those of the dictionary and then the rarer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = np.zeros(ENDINGS)
+        mass = np.zeros(2 * ENDINGS)
         for batch in batches:
             for part, items, number, ending in zip(*(batch.column(c).to_pylist() for c in ("part", "items", "counts", "endings")), strict=True):
                 code = scatter.unpack48(items) | (U64(part) << U64(48))
                 ending, number = np.frombuffer(ending, dtype=np.uint16).astype(np.int64), np.frombuffer(number, dtype=np.int64)
-                own = counts.types(counts.places(code), ending) < TOP_TYPES
-                mass += np.bincount(ending[~own], weights=number[~own] + 1, minlength=ENDINGS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS)), pa.array(mass)], names=["ending", "mass"])
+                place = counts.places(code)
+                own = counts.types(place, ending) < TOP_TYPES
+                mass += np.bincount((ending + ENDINGS * (place < 0))[~own], weights=number[~own] + 1, minlength=2 * ENDINGS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * ENDINGS)), pa.array(mass)], names=["ending", "mass"])
 
     return run
 
@@ -285,6 +297,13 @@ def hashed_features(types: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (np.stack(parts, axis=1) & U64(FEATURES - 1)).astype(np.int64)
 
 
+def token_histories(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of each token's history by the tokens themselves: last, last two, second last, third last."""
+    one, two, three = (_history(code.view(np.int64), at, k).view(U64) for k in (1, 2, 3))
+    first = wordbuf.mix(one + U64(1 << 40))
+    return np.stack([first, wordbuf.mix(first + two), wordbuf.mix(two + U64(3 << 40)), wordbuf.mix(three + U64(4 << 40))], axis=1)
+
+
 def logits(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Class scores of histories, held within what single-precision exponentials bear."""
     out = weights.take(rows[:, 0], axis=0)
@@ -294,15 +313,109 @@ def logits(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarr
     return np.clip(out, -60, 60, out=out)
 
 
-def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray):
-    """Gradient steps over a task's texts -> its weights times the meetings of each feature, and the meetings, in blocks."""
+@dataclass
+class Tree:
+    """Huffman trees of the classes' leaves: dictionary tokens by place, then a leaf for each ending's rarer tokens, then forks."""
+
+    parent: np.ndarray  # -1 at a class's root
+    side: np.ndarray  # of the node at its parent, 0 or 1
+    prior: np.ndarray  # log of side 1's mass over side 0's, of forks
+    leaves: int
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which leaf, fork and side, for every fork above every leaf."""
+        who, found = np.arange(len(leaf), dtype=np.int32), []
+        while len(leaf):
+            up = self.parent[leaf]
+            below = up >= 0
+            who, leaf, up = who[below], leaf[below], up[below]
+            found.append((who, up, self.side[leaf]))
+            leaf = up
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (who, who, who)
+
+
+def grow(mass: np.ndarray, belongs: np.ndarray) -> Tree:
+    """A Huffman tree of each class's leaves, by two queues."""
+    n = len(mass)
+    parent, side, prior = [-1] * n, [0] * n, []
+    order = np.lexsort((mass, belongs))
+    for own in np.split(order, np.flatnonzero(np.diff(belongs[order])) + 1):
+        leaves, weigh = own.tolist(), mass[own].tolist()
+        forks: list[int] = []
+        heavy: list[float] = []
+        i = j = 0
+        for _ in range(len(leaves) - 1):
+            pair = []
+            for _ in range(2):
+                if j >= len(forks) or (i < len(leaves) and weigh[i] <= heavy[j]):
+                    pair.append((leaves[i], weigh[i]))
+                    i += 1
+                else:
+                    pair.append((forks[j], heavy[j]))
+                    j += 1
+            (a, x), (b, y) = pair
+            fork = len(parent)
+            parent.append(-1)
+            side.append(0)
+            parent[a] = parent[b] = fork
+            side[b] = 1
+            prior.append(np.log(y / x))
+            forks.append(fork)
+            heavy.append(x + y)
+    return Tree(np.array(parent, dtype=np.int32), np.array(side, dtype=np.int8), np.array(prior, dtype=np.float32), n)
+
+
+def slot_bits(total: int) -> int:
+    least, most = SLOT_BITS
+    return min(most, max(least, (total // SLOT_TOKENS).bit_length()))
+
+
+def fork_slots(histories: np.ndarray, fork: np.ndarray, bits: int) -> np.ndarray:
+    """Weights of forks for the histories of their tokens."""
+    return (((histories + (fork.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None]) * U64(0xD6E8FEB86659FD93)) >> U64(64 - bits)).astype(np.int64)
+
+
+def _fork_logits(weights: np.ndarray, slots: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    return np.clip(weights[slots].sum(axis=1) + prior, -60, 60)
+
+
+class _Inner:
+    """A task's fork weights in training."""
+
+    def __init__(self, tree: Tree, bits: int) -> None:
+        self.tree, self.bits = tree, bits
+        self.weights, self.met = np.zeros(1 << bits, dtype=np.float32), np.zeros(1 << bits, dtype=np.float32)
+        self.steep = np.full(1 << bits, 1e-2, dtype=np.float32)
+
+    def learn(self, leaf: np.ndarray, histories: np.ndarray) -> None:
+        for i in range(0, len(leaf), INNER_BATCH):
+            who, fork, side = self.tree.paths(leaf[i : i + INNER_BATCH])
+            slots = fork_slots(histories[i : i + INNER_BATCH][who], fork, self.bits)
+            slope = 1 / (1 + np.exp(-_fork_logits(self.weights, slots, self.tree.prior[fork - self.tree.leaves]))) - side
+            flat = slots.ravel()
+            met = np.bincount(flat, minlength=len(self.met))
+            touched = np.flatnonzero(met)
+            summed = np.bincount(flat, weights=np.repeat(slope, slots.shape[1]), minlength=len(self.met))[touched].astype(np.float32)
+            self.steep[touched] += summed**2
+            self.weights[touched] -= RATE * summed / np.sqrt(self.steep[touched])
+            self.met[touched] += met[touched]
+
+
+def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray, tree: Tree, bits: int):
+    """Gradient steps over a task's texts -> its weights times the meetings of each feature, and the meetings, in blocks.
+
+    The classes' blocks come first, then those of the forks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
         steep = np.full((FEATURES, 1), 1e-2, dtype=np.float32)
         met = np.zeros(FEATURES, dtype=np.float32)
+        inner = _Inner(tree, bits)
         for _, _, _, code, ending, at in _slices(batches, counts.ranges):
-            types = counts.types(counts.places(code), ending)
+            place = counts.places(code)
+            types = counts.types(place, ending)
+            inner.learn(counts.leaves(place, ending), token_histories(code, at))
             wanted, rows = classes[types], hashed_features(types, at)
             for i in range(0, len(types), BATCH):
                 which, goal = rows[i : i + BATCH], wanted[i : i + BATCH]
@@ -320,7 +433,8 @@ def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray):
                 weights[touched] -= RATE * summed / np.sqrt(steep[touched])
                 met[touched] += np.diff(np.append(starts, len(flat)))
         told = np.concatenate([weights * met[:, None], met[:, None]], axis=1)
-        for i, block in enumerate(np.array_split(told, _BLOCKS)):
+        forks = np.stack([inner.weights * inner.met, inner.met], axis=1)
+        for i, block in enumerate([*np.array_split(told, _BLOCKS), *np.array_split(forks, _BLOCKS)]):
             yield pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), pa.array([0], type=pa.int32()), pa.array([block.tobytes()], type=pa.binary())], names=["block", "salt", "data"])
 
     return run
@@ -332,7 +446,22 @@ class Model:
     classes: np.ndarray  # of types
     weights: np.ndarray
     prior: np.ndarray
-    size: np.ndarray  # log10 of each class's total
+    size: np.ndarray  # log10 of each class's total, nought where a tree shares out the class
+    tree: Tree | None = None
+    forks: np.ndarray | None = None  # weights
+    rare: np.ndarray | None = None  # log10 of each ending's rarer tokens' total
+
+    def log10_inside(self, leaf: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each token's leaf within its class, less the log10 of the total of a rare one's ending."""
+        out, histories, bits = np.zeros(len(leaf)), token_histories(code, at), len(self.forks).bit_length() - 1
+        for i in range(0, len(leaf), INNER_BATCH):
+            who, fork, side = self.tree.paths(leaf[i : i + INNER_BATCH])
+            told = _fork_logits(self.forks, fork_slots(histories[i : i + INNER_BATCH][who], fork, bits), self.tree.prior[fork - self.tree.leaves])
+            told = np.logaddexp(np.float32(0), np.where(side == 1, -told, told))
+            out[i : i + INNER_BATCH] = np.bincount(who, weights=told, minlength=len(leaf[i : i + INNER_BATCH])) / -np.log(10)
+        other = leaf >= len(self.counts.codes)
+        out[other] -= self.rare[leaf[other] - len(self.counts.codes)]
+        return out
 
     def log10_classes(self, types: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class, less the log10 of its class's total."""
@@ -349,31 +478,37 @@ def fit(docs: DataFrame, ranges: int) -> tuple[Model, DataFrame]:
     """A model of the texts of ``docs`` (column ``text``), and the count table, one row a hash range."""
     table = durable(docs.mapInArrow(_count(ranges), _TABLE).groupBy("part").applyInArrow(_sum_counts, _TABLE))
     total, kinds = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    often = table.select("part", "items", "counts").mapInArrow(_dictionary(total), "code long, count long").toPandas()  # 1 / DICTIONARY_SHARE rows at most
+    often = table.select("part", "items", "counts", "endings").mapInArrow(_dictionary(total), "code long, count long, ending int").toPandas()  # 1 / DICTIONARY_SHARE rows at most
     code, number = often["code"].to_numpy(dtype=np.int64).view(U64), often["count"].to_numpy(dtype=np.int64)
     order = np.argsort(code)
-    code, number = code[order], number[order]
+    code, number, ending = code[order], number[order], often["ending"].to_numpy(dtype=np.int64)[order]
     top = np.full(len(code), -1, dtype=np.int64)
     best = np.lexsort((code, -number))[:TOP_TYPES]
     top[best] = np.arange(len(best))
     counts = Counts(ranges, code, number, top, total, kinds)
-    rest = np.zeros(ENDINGS)
+    rest = np.zeros(2 * ENDINGS)
     for r in table.mapInArrow(_rest(counts), "ending long, mass double").groupBy("ending").agg(F.sum("mass").alias("mass")).collect():
         rest[r.ending] = r.mass
     mass = np.zeros(TYPES)
     mass[: len(best)] = number[best] + 1
-    mass[TOP_TYPES : TOP_TYPES + ENDINGS] = rest
+    mass[TOP_TYPES : TOP_TYPES + ENDINGS] = rest[:ENDINGS] + rest[ENDINGS:]
     beside = _summed(docs.mapInArrow(_beside(counts), "block int, salt int, data binary"))
     near = np.concatenate([beside[i].reshape(-1, 2 * ANCHORS) for i in sorted(beside)]) if beside else np.zeros((TYPES, 2 * ANCHORS), dtype=np.float32)
     classes = cluster(near.astype(np.float64), CLASSES)
     size = np.bincount(classes, weights=mass, minlength=CLASSES) + 1.0
     prior = np.log(size / size.sum()).astype(np.float32)
-    learnt = _summed(docs.mapInArrow(_learn(counts, classes, prior), "block int, salt int, data binary"))
+    rare = rest[ENDINGS:] + 1.0
+    tree = grow(np.append(number + 1.0, rare), classes[np.append(np.where(top >= 0, top, TOP_TYPES + ending), TOP_TYPES + np.arange(ENDINGS))])
+    bits = slot_bits(total)
+    learnt = _summed(docs.mapInArrow(_learn(counts, classes, prior, tree, bits), "block int, salt int, data binary"))
     weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
+    forks = np.zeros(1 << bits, dtype=np.float32)
     if learnt:
-        told = np.concatenate([learnt[i].reshape(-1, CLASSES + 1) for i in sorted(learnt)])
+        told = np.concatenate([learnt[i].reshape(-1, CLASSES + 1) for i in range(_BLOCKS)])
         weights = (told[:, :-1] / np.maximum(told[:, -1:], 1)).astype(np.float32)
-    return Model(counts, classes, weights, prior, np.log10(size)), table
+        told = np.concatenate([learnt[i].reshape(-1, 2) for i in range(_BLOCKS, 2 * _BLOCKS)])
+        forks = told[:, 0] / np.maximum(told[:, 1], 1)
+    return Model(counts, classes, weights, prior, np.zeros(CLASSES), tree, forks, np.log10(rare)), table
 
 
 _PART = "kind int, part int, items binary, counts binary, endings binary, total long, kinds long"
@@ -393,7 +528,7 @@ def _score(model: Model):
             number += 1
             place = counts.places(code)
             types = counts.types(place, ending)
-            told = model.log10_classes(types, at)
+            told = model.log10_classes(types, at) + model.log10_inside(counts.leaves(place, ending), code, at)
             known = place >= 0
             seen = np.log10(counts.counts[place[known]] + 1.0) if known.any() else np.zeros(0)
             row = np.repeat(np.arange(b - a), np.diff(at))
@@ -401,7 +536,7 @@ def _score(model: Model):
             per = lambda x, of=row: np.bincount(of, weights=x, minlength=b - a)  # noqa: B023, E731
             inside = per(seen, row[known])
             ids = batch.column("doc_id").slice(a, b - a)
-            header = [np.diff(at).astype(np.float64), np.bincount(row[known], minlength=b - a).astype(np.float64), inside, per(told)]
+            header = [np.diff(at).astype(np.float64), np.bincount(row[known], minlength=b - a).astype(np.float64), inside, per(told) - inside]
             rows = [{"kind": 2, "part": number % counts.ranges, "items": key.tobytes(), "counts": np.stack(header).tobytes(), "endings": ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes(), "total": number, "kinds": b - a}]
             rare = np.flatnonzero(~known)
             order, bounds = scatter.by_part(code[rare] >> U64(48), counts.ranges)

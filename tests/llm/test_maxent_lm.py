@@ -93,3 +93,29 @@ def test_lookup(codes, asked):
     asked = np.array(asked + codes.tolist(), dtype=np.uint64)
     want = [int(np.searchsorted(codes, a)) if a in codes else -1 for a in asked]
     assert M.Lookup(codes)(asked).tolist() == want
+
+
+def test_likely_next_words_of_one_class(spark, monkeypatch):
+    monkeypatch.setattr(M, "CLASSES", 1)
+    texts = ["ka lo", "mi su"] * 400
+    frame = spark.createDataFrame([*enumerate(texts), (-1, "ka lo"), (-2, "ka su")], "doc_id long, text string")
+    got = {r.doc_id: r for r in M.score(frame, F.col("doc_id") >= 0).where("doc_id < 0").collect()}
+    assert math.isclose(got[-1].base_score, got[-2].base_score)
+    assert got[-1].score > got[-2].score + 0.5
+
+
+def test_tree_probabilities_sum_to_one():
+    rng = np.random.default_rng(1)
+    codes = np.arange(700, dtype=np.uint64)
+    counts = M.Counts(1, codes, rng.integers(1, 9, 700), np.full(700, -1), 0, 0)
+    leaves = 700 + M.ENDINGS
+    belongs = rng.integers(0, M.CLASSES, leaves)
+    mass = rng.pareto(0.7, leaves) + 1
+    at, code = np.array([0, 4]), np.arange(4, dtype=np.uint64)
+    for weights in (np.zeros(1 << 16, dtype=np.float32), rng.normal(0, 2, 1 << 16).astype(np.float32)):
+        model = M.Model(counts, belongs, weights, weights, np.zeros(M.CLASSES), M.grow(mass, belongs), weights, np.zeros(M.ENDINGS))
+        told = np.array([model.log10_inside(np.full(4, leaf), code, at) for leaf in range(leaves)])
+        for c in range(M.CLASSES):
+            assert np.allclose((10 ** told[belongs == c]).sum(axis=0), 1, atol=1e-4)
+        if not weights.any():
+            assert np.allclose(10 ** told[:, 0], mass / np.bincount(belongs, weights=mass)[belongs], rtol=1e-3)
