@@ -617,7 +617,9 @@ def score(docs: DataFrame, learnt: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    ranges = min(1 << 16, width(spark))
+    octets = F.octet_length(F.coalesce("text", F.lit("")))
+    most = docs.agg(F.sum(((octets + 1) / 2).cast("long") + 1)).first()[0] or 0  # tokens, if every other byte parts two words
+    ranges = scatter.ranges_for(most, width(spark))
     model, table = fit(docs.where(learnt).select("text"), ranges)
     blocks = docs.mapInArrow(_score(model), _PART).unionByName(table)
     answers = blocks.groupBy("part").applyInArrow(_answer(ranges), _PART)

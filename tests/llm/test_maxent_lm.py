@@ -65,6 +65,15 @@ def test_rare_tokens_by_their_ranges(spark, monkeypatch):
     same(ours(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 != 0), sorted(brute(rows, lambda k: k % 3 != 0), key=key))
 
 
+def test_ranges_follow_the_tokens(spark, monkeypatch):
+    used, fit = [], M.fit
+    monkeypatch.setattr(M, "fit", lambda docs, ranges: used.append(ranges) or fit(docs, ranges))
+    monkeypatch.setattr(M.scatter, "ITEMS_A_RANGE", 100)
+    rows = [(i, " ".join(f"w{(i * j) % 701}" for j in range(30))) for i in range(80)]
+    same(ours(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 != 0), sorted(brute(rows, lambda k: k % 3 != 0), key=key))
+    assert used[0] >= sum(len(split(text)) for _, text in rows) / 100 > 4
+
+
 def test_edge_rows(spark):
     rows = [(None, None), (None, "a b"), (1, ""), (1, "a b"), (1, "a b"), (2, "z " * 3000), (3, "É\vÉ é")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
