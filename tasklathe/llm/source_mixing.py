@@ -71,7 +71,8 @@ def mix(docs: DataFrame, size: Column, weight: Column, rows: int | None = None)
     ``taken`` counts the words that the mix takes, repeats included: whole
     epochs of the size, plus the part of the last prefix.  ``copies`` rounds that
     to whole documents, half a document and more being one.  A document of size 0
-    has neither.  Repeated ids share a draw; rows that are equal in id and size
+    takes no words and has a copy for each complete epoch of its source, none if
+    the source has no words at all.  Repeated ids share a draw; rows that are equal in id and size
     are told apart arbitrarily but alike.  Columns with an output's name are
     replaced.  An empty table gives an empty result.
     """
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, rows: int | None = None)
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before") - F.col("__inside")))
     placed = placed.withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(epochs).cast("int")
     return placed.select(*kept, "size", "source_size", "target", "taken", copies.alias("copies"))
 
 

@@ -60,6 +60,14 @@ def test_edge_rows(spark):
     assert M.mix(frame.limit(0), F.col("words"), F.lit(1.0)).count() == 0
 
 
+def test_documents_without_words_stand_once_an_epoch(spark):
+    rows = [(1, "a", 0), (2, "a", 10), (3, "b", 0), (4, "b", 1000), (5, "c", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    got = {r.doc_id: r for r in M.mix(frame, F.col("words"), F.lit(1.0)).collect()}
+    assert {k: got[k].copies for k in (1, 3, 5)} == {1: int(got[2].target // 10), 3: int(got[4].target // 1000), 5: 0}
+    assert got[1].copies == 2 and got[3].copies == 1 and not any(got[k].taken for k in (1, 3, 5))
+
+
 def test_better_documents_come_first(spark):
     frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("words"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25).alias("q"))
     got = M.mix(frame, F.col("words"), F.col("q")).groupBy("q").agg(F.sum("taken")).collect()
