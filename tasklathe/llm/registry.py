@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bin_packing, jaccard_join, maxent_lm, maxscore, preference_pairs, quality_rules, secret_scan, source_mixing, toxicity
 from .jaccard_join import jaccard_classes
 from .piece_codec import encode_texts
-from .sparkio import table
+from .sparkio import durable, table
 
 
 def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    small = docs.select("doc_id", "source", source_mixing.words(F.col("text")).alias("words"))
-    mixed = source_mixing.mix(small, F.col("words"), source_mixing.quality(F.col("words")), rows=docs.count())
+    small = durable(docs.select("doc_id", "source", source_mixing.words(F.col("text")).alias("words")))
+    mixed = source_mixing.mix(small, F.col("words"), source_mixing.quality(F.col("words")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -47,10 +47,40 @@ def test_ranges_do_not_change_the_result(spark, monkeypatch):
     rows = [(i, f"s{i % 3}" if i % 7 else None, (i * 37) % 90) for i in range(400)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, words long")
     run = lambda: sorted(map(str, M.mix(frame, F.col("words"), M.quality(F.col("words"))).collect()))
-    monkeypatch.setattr(M, "RANGE_ROWS", 10**9)
+    monkeypatch.setattr(M, "FEW", 10**9)
     whole = run()
-    monkeypatch.setattr(M, "RANGE_ROWS", 5)
+    monkeypatch.setattr(M, "FEW", 1)
+    monkeypatch.setattr(M, "CELLS", 5)
     assert run() == whole
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    assert run() == whole
+
+
+def test_short_texts_of_one_source_against_plain_order(spark, monkeypatch):
+    """All draw weights at their least, so most keys lie far out."""
+    monkeypatch.setattr(M, "FEW", 10)
+    frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a").alias("source"), (F.col("id") % 9).alias("words"))
+    got = {r.doc_id: r for r in M.mix(frame, F.col("words"), M.quality(F.col("words"))).collect()}
+    keys = {r.doc_id: r.k for r in frame.select("doc_id", M.draw_key(F.col("doc_id"), M.quality(F.col("words"))).alias("k")).collect()}
+    for source in (0, 1):
+        own = sorted((r for r in got.values() if (r.doc_id % 3 > 0) == bool(source)), key=lambda r: (keys[r.doc_id], r.doc_id))
+        epochs, left = divmod(round(own[0].target), own[0].source_size)
+        for r in own:
+            part = min(r.size, left)
+            assert r.taken == epochs * r.size + part
+            left -= part
+
+
+def test_many_rows_alike_meet_the_target(spark, monkeypatch):
+    """Null and repeated ids share one draw, and rows may be alike in everything."""
+    monkeypatch.setattr(M, "FEW", 2)
+    rows = [(None, "a", 3 + i % 2, "x") for i in range(500)] + [(7, "b", 5, "same")] * 300 + [(i, "c", 11, "y") for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, words long, size string")
+    got = M.mix(frame, F.col("words"), F.lit(1.0)).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.source, r.target), []).append(r.taken)
+    assert len(got) == 890 and all(abs(sum(t) - goal) <= 1 for (_, goal), t in by.items()) and all(r.taken <= 2 * r.size for r in got)
 
 
 def test_edge_rows(spark):
