@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sparkio import durable
+from .sparkio import durable, release
 
 
 def _edges(big: Column, small: Column) -> list[Column]:
@@ -29,8 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(*_edges(F.col("v"), F.col("m"))).where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(least, "a").select(*_edges(F.greatest("b", "m"), F.least("b", "m"))).where("a > b")
-        now = durable(linked.union(least.select(*_edges(F.col("a"), F.col("m")))).distinct())
+        before, now = now, durable(linked.union(least.select(*_edges(F.col("a"), F.col("m")))).distinct())
+        release(before)
         inner = now.select(F.col("b").alias("a")).distinct().join(now, "a", "left_semi")
         twice = now.groupBy("a").count().where("count > 1").select("a")
         if inner.union(twice).isEmpty():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found._stands_in = now._stands_in
+            return found

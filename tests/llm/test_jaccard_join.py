@@ -110,3 +110,49 @@ def test_need_is_the_definition(n):
 def test_subset_groups_have_no_false_link(spark):
     rows = [(i, " ".join(f"c{j}" for j in range(i, i + 13))) for i in range(8)]
     assert ours(spark, rows) == brute(rows)
+
+
+def form_letters(rng, n, slots=40):
+    """Letters of one form with two fillings a slot, so that differences from any centre are shared by many."""
+    fill = [[" ".join(f"f{i}{k}{j}" for j in range(8)) for k in "ab"] for i in range(slots)]
+    return [" ".join(f"s{i} " + fill[i][rng.random() < 0.15] for i in range(slots)) for _ in range(n)]
+
+
+def test_shared_differences_are_not_expanded_into_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = list(enumerate(form_letters(rng, 50) + [" ".join(f"z{rng.randrange(10**6)}" for _ in range(30)) for _ in range(10)]))
+    want = brute(rows)
+    assert ours(spark, rows) == want
+    monkeypatch.setattr(J, "PAIRS_AN_ENTRY", 0)  # centres as long as they pay
+    assert ours(spark, rows) == want
+
+
+def test_a_shingle_in_every_text(spark, monkeypatch):
+    """Frequent shingles go as counts; their postings wait elsewhere."""
+    rng = random.Random(5)
+    line = " ".join(f"line{i}" for i in range(12))
+    rows = []
+    for i in range(120):
+        base = [f"b{i}x{j}" for j in range(rng.randrange(4, 60))]
+        rows += [(len(rows) + k, " ".join(edited(base, rng, k)) + " " + line) for k in range(2)]
+    want = brute(rows)
+    assert ours(spark, rows) == want
+    monkeypatch.setattr(J, "FREQUENT_LEAST", 2)
+    monkeypatch.setattr(J, "_SLICE", 2000)  # many slices, so that classes and counts meet again
+    assert ours(spark, rows) == want
+
+
+def test_clashing_columns_are_replaced_or_carried(spark):
+    text = "a b c d e f g"
+    frame = spark.createDataFrame([(1, text, 9, 9, 9, 9, 5), (2, text, 9, 9, 9, 9, 6)], "doc_id long, text string, n_shingles int, set_key int, class_key int, component_id int, node int")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.node) for r in J.jaccard_classes(frame).collect()) == [(1, 3, 1, 5), (2, 3, 1, 6)]
+    assert sorted((r.doc_id, r.component_id, r.node) for r in J.one_of_each(frame).collect()) == [(1, 9, 5)]
+
+
+def test_one_of_each_keeps_all_rows_without_words(spark):
+    text = "a b c d e f g"
+    rows = [(None, None), (None, ""), (None, " "), (None, "\t"), (None, ""), (4, ""), (4, ""), (5, text), (5, text), (None, text), (6, text + " h i j"), (None, "q"), (None, "q")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, J.one_of_each(frame).collect()), key=repr)
+    assert got == sorted([*rows[:7], (5, text), (6, text + " h i j"), (None, "q")], key=repr)
+    assert J.one_of_each(frame.limit(0)).count() == 0
