@@ -5,25 +5,29 @@ capacity from the largest to the smallest, each into the bin with the least
 remaining capacity that still holds it, found in a balanced tree (an AA tree
 ordered by remaining capacity and bin).
 
-Only groups above a share of the capacity are packed one by one; there can be no
-more than ``bins * FINE`` of those, whatever the input.  Smaller groups are
-hashed into bundles, whose number is as bounded, and bundles are packed as items.
-So the driver sees a bounded number of items, and every row finds its bin by its
-group or its bundle.
+Groups of one size are packed as a run: the tightest bin that holds one of them
+stays the tightest as it fills, so it takes as many as go in, and then the next
+bin does.  That gives what packing them one by one gives, and the driver only
+sees each distinct size with its number of groups.  D distinct sizes add up to
+D squared over two at least, so they are no more than the square root of twice
+the total size.  Which of a run's groups go to which of its bins follows their
+rank in a hash order, numbered in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sparkio import durable
+from .sparkio import durable, release
 
-#: Groups of at least capacity / FINE are items of their own; smaller ones share FINE bundles a bin.
-FINE = 256
+#: Distinct sizes whose bins may be broadcast; more of them are joined as they come.
+BROADCAST_SIZES = 100_000
 
 
 class AATree:
@@ -106,95 +110,139 @@ class AATree:
         return found
 
 
+def best_fit_runs(runs: Iterable[tuple[int, int]], capacity: int, most_bins: int | None = None) -> list[tuple[int, list[tuple[int, int]]]] | None:
+    """Each run (size, number of items) with its (bin, number of items), in order; None if ``most_bins`` don't suffice.
+
+    Sizes are positive and distinct.  An item above the capacity opens a bin of its
+    own.  Ties go to the lower bin, so reruns agree.
+    """
+    tree, bins, placed = AATree(), 0, []
+    for size, count in sorted(runs, reverse=True):
+        parts: list[tuple[int, int]] = []
+        while count:
+            fit = tree.at_least((size, -1)) if size <= capacity else None
+            if fit is None:
+                if bins == most_bins:
+                    return None
+                left, at, bins = capacity, bins, bins + 1
+            else:
+                tree.remove(fit)
+                left, at = fit
+            taken = max(1, min(count, left // size))
+            count -= taken
+            left -= taken * size
+            parts.append((at, taken))
+            if left >= 0:
+                tree.add((left, at))
+        placed.append((size, parts))
+    return placed
+
+
 def best_fit_decreasing(items: Iterable[tuple[int, object]], capacity: int, most_bins: int | None = None) -> dict | None:
     """Bin of each item (size, name); None if ``most_bins`` don't suffice.
 
     An item above the capacity opens a bin of its own.  Ties go to the smaller
     name, then to the lower bin, so reruns agree.
     """
-    tree, bins, placed = AATree(), 0, {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        fit = tree.at_least((size, -1)) if size <= capacity else None
-        if fit is None:
-            if bins == most_bins:
-                return None
-            left, at, bins = capacity - size, bins, bins + 1
-        else:
-            tree.remove(fit)
-            left, at = fit[0] - size, fit[1]
-        placed[name] = at
-        if left >= 0:
-            tree.add((left, at))
-    return placed
+    names: dict[int, list] = {}
+    for size, name in sorted(items):
+        names.setdefault(size, []).append(name)
+    placed = best_fit_runs([(size, len(own)) for size, own in names.items()], capacity, most_bins)
+    if placed is None:
+        return None
+    return {name: at for size, parts in placed for name, at in zip(names[size], (at for at, n in parts for _ in range(n)), strict=True)}
 
 
-def pack_into(items: list[tuple[int, object]], bins: int) -> dict:
-    """Bins of the items with the least capacity, by bisection, at which ``bins`` bins hold them all.
+def pack_into(runs: Iterable[tuple[int, int]], bins: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Each run (size, number of items) with its (bin, number of items), at about the least capacity at which ``bins`` bins hold them all.
 
     Items above the share that is left for each bin get a bin of their own first.
+    Capacities are tried upwards in doubling steps and then by bisection, down to
+    a hundred-thousandth of the capacity.
     """
-    rest, own = sorted(items, key=lambda x: (-x[0], x[1])), {}
-    left = sum(s for s, _ in rest)
+    rest, own = sorted(runs, reverse=True), []
+    left = sum(s * n for s, n in rest)
     while rest and len(own) < bins - 1 and rest[0][0] * (bins - len(own)) > left:  # above what is left for each bin: alone
-        size, name = rest.pop(0)
-        own[name] = len(own)
+        size, count = rest[0]
+        own.append(size)
         left -= size
+        rest[:1] = [(size, count - 1)] if count > 1 else []
     held, largest = bins - len(own), rest[0][0] if rest else 0
     low = max(largest, -(-left // held))
-    high = low + largest + 1
-    while (best := best_fit_decreasing(rest, high, held)) is None:
-        low, high = high, 2 * high
-    while low < high:
-        middle = (low + high) // 2
-        tried = best_fit_decreasing(rest, middle, held)
+    fine = max(1, low // 100_000)
+    failed, step, high = low - 1, fine, low
+    while (best := best_fit_runs(rest, high, held)) is None:
+        failed, high, step = high, high + step, 2 * step
+    while high - failed > fine:
+        middle = (failed + high) // 2
+        tried = best_fit_runs(rest, middle, held)
         if tried is None:
-            low = middle + 1
+            failed = middle
         else:
             best, high = tried, middle
-    return own | {name: at + len(own) for name, at in best.items()}
+    placed: dict[int, list[tuple[int, int]]] = {}
+    for at, size in enumerate(own):
+        placed.setdefault(size, []).append((at, 1))
+    for size, parts in best:
+        placed.setdefault(size, []).extend((at + len(own), n) for at, n in parts)
+    return sorted(placed.items(), reverse=True)
+
+
+def _numbered(rows: DataFrame, key: str, spread: Column, blocks: Column, *order: str) -> DataFrame:
+    """``rows`` with ``__pack_rank``, from 0 without gaps within each key.
+
+    Rows are numbered in blocks by hash (``spread``), and blocks' counts are
+    prefix-summed.  With the square root of a key's rows as their number, neither
+    step has more than about that many rows in one group.
+    """
+    rows = rows.withColumn("__pack_block", F.pmod(spread, F.greatest(F.lit(1), F.ceil(F.sqrt(blocks.cast("double")))).cast("long")))
+    counts = rows.groupBy(F.col(key).alias("__pack_k"), F.col("__pack_block").alias("__pack_b")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__pack_k").orderBy("__pack_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pack_k", "__pack_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__pack_before"))
+    inside = Window.partitionBy(key, "__pack_block").orderBy(*order)
+    placed = rows.withColumn("__pack_place", F.row_number().over(inside) - 1)
+    joined = placed.join(offsets, (F.col(key) == F.col("__pack_k")) & (F.col("__pack_block") == F.col("__pack_b")))
+    return joined.withColumn("__pack_rank", (F.col("__pack_before") + F.col("__pack_place")).cast("long"))
 
 
 def assign(docs: DataFrame, size: Column, group: Column, bins: int) -> DataFrame:
     """``docs`` with ``shard`` (0 to bins - 1) and ``slot`` (gapless from 0 in its shard).
 
     docs has a ``doc_id`` (long); give it the columns that the result needs, as
-    it is written once to the shared folder.  Rows of one group share a shard;
-    ``group`` must be a non-null binary (a digest of what makes rows equal).
-    Sizes are positive; shards' sizes come as near to equal as the largest group
-    allows.  Slots follow a hash of group and ``doc_id``; rows equal in both get
-    neighbouring slots.  Columns named ``shard`` or ``slot`` are replaced.  An
-    empty table gives an empty result.  A group above a shard's fair share stays
-    whole: then its shard is that much larger.
+    it is written once to the shared folder (very long texts best as digests).
+    Rows of one group share a shard; ``group`` must be a non-null binary (a digest
+    of what makes rows equal).  Sizes are positive; shards' sizes come as near to
+    equal as the largest group allows.  Slots follow a hash of group and
+    ``doc_id``; rows equal in both get neighbouring slots, those with null ids in
+    no fixed order among themselves.  Columns named ``shard`` or ``slot``, and
+    those whose names begin with ``__pack``, are replaced or dropped.  An empty
+    table gives an empty result.  A group above a shard's fair share stays whole:
+    then its shard is that much larger.
     """
-    bundles = bins * FINE
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    keyed = docs.select(*kept, group.alias("__group"), size.cast("long").alias("__size"))
-    keyed = durable(keyed.withColumn("__bundle", F.pmod(F.xxhash64("__group"), F.lit(bundles)).cast("int")))
-    groups = durable(keyed.groupBy("__group", "__bundle").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("rows")))
-    total, rows = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    large = F.col("size") * bundles >= total
-    items = groups.groupBy(F.when(large, F.col("__group")).alias("g"), F.col("__bundle").alias("b")).agg(F.sum("size").alias("size"))
-    # Large groups' sizes add up to the total at most, so there are at most as many as bundles.
-    names = [(r.size_, (r.g is None, bytes(r.g or b""), r.b)) for r in items.withColumnRenamed("size", "size_").collect()]
-    at = pack_into(names, bins)
-    table = docs.sparkSession.createDataFrame([(None if small else bytearray(g), b, at[small, g, b]) for _, (small, g, b) in names], "g binary, b int, shard int")
-    single = F.broadcast(table.where("g IS NOT NULL").select(F.col("g").alias("__group"), F.col("shard").alias("__single")))
-    bundle = F.broadcast(table.where("g IS NULL").select(F.col("b").alias("__bundle"), F.col("shard").alias("__shared")))
-    placed = keyed.join(single, "__group", "left").join(bundle, "__bundle", "left").withColumn("shard", F.coalesce("__single", "__shared"))
-    return _slots(placed, rows, bins).select(*kept, "shard", "slot")
-
-
-#: Rows that are numbered together, about, and blocks of a shard, at most.
-BLOCK_ROWS, BLOCKS = 500, 4096
-
-
-def _slots(placed: DataFrame, rows: int, bins: int) -> DataFrame:
-    """Number the rows of each shard from 0, in hashed blocks whose counts are prefix-summed."""
-    blocks = min(BLOCKS, max(1, rows // bins // BLOCK_ROWS))
-    placed = placed.withColumn("__block", F.pmod(F.xxhash64("__group", "doc_id"), F.lit(blocks)))
-    counts = placed.groupBy("shard", "__block").count()
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("shard", "__block").orderBy("__group", "doc_id")
-    numbered = placed.withColumn("__place", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["shard", "__block"]).withColumn("slot", (F.col("__before") + F.col("__place")).cast("long"))
+    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c not in ("shard", "slot") and not c.startswith("__pack")]
+    unnamed = -1 - F.monotonically_increasing_id()  # tells rows without an id apart
+    keyed = durable(docs.select(*kept, group.alias("__pack_group"), size.cast("long").alias("__pack_size"), F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("__pack_id")))
+    groups = durable(keyed.groupBy("__pack_group").agg(F.sum("__pack_size").alias("__pack_bytes"), F.count(F.lit(1)).alias("__pack_rows")))
+    rows = groups.agg(F.coalesce(F.sum("__pack_rows"), F.lit(0))).first()[0]
+    sizes = groups.groupBy("__pack_bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()  # distinct sizes, see above
+    runs = list(zip(sizes.column(0).to_pylist(), sizes.column(1).to_pylist(), strict=True))
+    placed = pack_into(runs, bins)
+    ends = [[0, *(sum(n for _, n in parts[: i + 1]) for i in range(len(parts)))] for _, parts in placed]
+    plan = pa.table({
+        "__pack_of": pa.array([s for s, _ in placed], type=pa.int64()),
+        "__pack_n": pa.array([e[-1] for e in ends], type=pa.int64()),
+        "__pack_starts": pa.array([e[:-1] for e in ends], type=pa.list_(pa.int64())),
+        "__pack_bins": pa.array([[at for at, _ in parts] for _, parts in placed], type=pa.list_(pa.int32())),
+    })
+    by_size = spark.createDataFrame(plan)
+    told = groups.join(F.broadcast(by_size) if len(placed) <= BROADCAST_SIZES else by_size, F.col("__pack_bytes") == F.col("__pack_of"))
+    one = told.where(F.size("__pack_bins") == 1).select("__pack_group", F.element_at("__pack_bins", 1).alias("shard"))
+    several = _numbered(told.where(F.size("__pack_bins") > 1), "__pack_bytes", F.xxhash64("__pack_group"), F.col("__pack_n"), "__pack_group")
+    part = F.size(F.filter("__pack_starts", lambda x: x <= F.col("__pack_rank")))
+    several = several.select("__pack_group", F.element_at("__pack_bins", part).alias("shard"))
+    # As a key of its own, so that a group of very many copies can be split in the join.
+    shards = one.unionByName(several).select(F.concat("__pack_group", F.lit(b"")).alias("__pack_group"), "shard")
+    found = durable(keyed.join(shards, "__pack_group"))
+    release(keyed, groups)
+    return _numbered(found, "shard", F.xxhash64("__pack_group", "__pack_id"), F.lit(rows), "__pack_group", "__pack_id").select(*kept, "shard", F.col("__pack_rank").alias("slot"))

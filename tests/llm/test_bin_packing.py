@@ -50,6 +50,51 @@ def test_oversized_item_gets_a_bin():
     assert B.best_fit_decreasing([(100, "a"), (3, "b"), (4, "c")], 10) == {"a": 0, "c": 1, "b": 1}
 
 
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=80), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_packing_into_bins_keeps_all_items(sizes, bins):
+    placed = B.pack_into(list(Counter(sizes).items()), bins)
+    assert Counter({s: sum(n for _, n in parts) for s, parts in placed}) == Counter(sizes)
+    assert {at for _, parts in placed for at, _ in parts} <= set(range(bins))
+
+
+def test_shards_are_those_of_plain_best_fit(spark, sf_dir):
+    """All groups of the whole table, one by one, at the capacity that the packing has come to."""
+    sizes = Counter()
+    for r in table(spark, sf_dir, "documents").collect():
+        sizes[r.text or ""] += len((r.text or "").encode()) + 1
+    load = Counter()
+    for r in registry.op7_sharding(spark, sf_dir).collect():
+        load[r.shard] += r.size
+    placed = B.pack_into(list(Counter(sizes.values()).items()), 16)
+    ours = Counter()
+    for size, parts in placed:
+        for at, n in parts:
+            ours[at] += size * n
+    assert load == ours
+    fair = sum(load.values()) / 16
+    rest = [(s, t) for t, s in sizes.items()]
+    if max(sizes.values()) <= fair:
+        plain = Counter()
+        for text, at in plain_best_fit(rest, max(load.values())).items():
+            plain[at] += sizes[text]
+        assert plain == loads_of(rest, max(load.values())) and len(plain) <= 16
+
+
+def loads_of(items, capacity):
+    placed, size = B.best_fit_decreasing(items, capacity), {name: s for s, name in items}
+    out = Counter()
+    for name, at in placed.items():
+        out[at] += size[name]
+    return out
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(i, 3, "a", "b", "c", 9) for i in range(20)], "doc_id long, size int, `__size` string, shard string, slot string, `__pack_rank` int")
+    got = B.assign(frame, F.col("size"), F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))), 4)
+    assert got.columns == ["doc_id", "size", "__size", "shard", "slot"] and sorted(r.doc_id for r in got.collect()) == list(range(20))
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     rows = registry.op7_sharding(spark, sf_dir).collect()
