@@ -9,12 +9,15 @@ as long as that is below the k-th best score known, these terms are
 non-essential: they can't bring in a candidate alone.  Essential postings are
 traversed and give partial scores; a candidate is probed in the other terms, one
 after another from the largest bound, only while its partial score plus the
-bounds still to come can reach the k-th best score.  The threshold starts from a
-first sample of each shard scored in full and rises as candidates finish; ties
-at it stay competitive.  Shards' lists are merged by score and identifier.
-
-Scores are integers and exact.  Blocks of queries meet shards of candidates, all
-of them; both are bounded in size.
+bounds still to come can reach the k-th best score.  The threshold starts from
+what a task's earlier shards have found, or from a first sample scored in full,
+and rises as candidates finish; ties at it stay competitive.  Shards' lists are
+merged by score and identifier.
+
+Scores are integers and exact.  Candidates stay where they are: a chunk of
+queries, bounded in size, goes to every task, which turns its rows into shards
+one after another and hands in the best of all of them.  More queries are more
+chunks.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sparkio import durable
+from .sparkio import durable, release
 
-#: Candidates in a shard and queries in a block, about.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Candidates in a shard at most, and queries in a chunk, about.
+SHARD_ROWS, CHUNK_QUERIES = 8192, 4096
 #: Candidates of a shard that are scored in full before any is pruned.
 FIRST = 64
 SCALE = 1024
@@ -66,6 +69,7 @@ class Shard:
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
         self.postings = np.ascontiguousarray(terms[order].T)  # term by candidate
+        self.repeats = len(ids) > 1 and bool((self.ids[1:] == self.ids[:-1]).any())
         self.most = self.postings.max(axis=1) if len(ids) else np.zeros(terms.shape[1], dtype=np.int64)
         self.least = self.postings.min(axis=1) if len(ids) else self.most
         # Products and sums below 2**53 are exact in doubles, where traversal is a matrix product.
@@ -79,21 +83,29 @@ class Shard:
         wide = (self.postings[terms][:, rows].astype(object) * query[terms].astype(object)[:, None]).sum(axis=0)
         return np.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in np.atleast_1d(wide)], dtype=np.int64)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers and scores of the k best candidates other than the query, smaller identifiers first among ties."""
+    def top(self, query_id: int, query: np.ndarray, k: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers and scores of the k best candidates other than the query, smaller identifiers first among ties.
+
+        With ``known``, a k-th best score found elsewhere, candidates below it may be left out.
+        """
         own = self.ids == query_id
+        everything = np.arange(len(query))
+        if self.repeats:  # an identifier counts once, with its best score
+            rows = np.flatnonzero(~own)
+            return _best(self.ids[rows], self.traverse(query, everything, rows), k)
         bounds = np.maximum(query * self.most, query * self.least)
         order = np.argsort(-bounds, kind="stable")
         ahead = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0]])  # from this term on
-        everything = np.arange(len(query))
         head = np.flatnonzero(~own[:FIRST])
         scores = self.traverse(query, everything, head)
-        known = np.sort(scores)[::-1]
-        threshold = known[k - 1] if len(known) >= k else None
         rest = np.flatnonzero(~own)
         rest = rest[rest >= FIRST]
+        threshold = known
+        if len(scores) >= k:
+            sample = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+            threshold = sample if known is None else max(known, sample)
         if threshold is None:
-            return self._best(np.concatenate([head, rest]), np.concatenate([scores, self.traverse(query, everything, rest)]), k)
+            return _best(self.ids[np.concatenate([head, rest])], np.concatenate([scores, self.traverse(query, everything, rest)]), k)
         essential = int(np.argmax(ahead < threshold)) if (ahead < threshold).any() else len(order)
         partial = self.traverse(query, order[:essential], rest)
         at = essential
@@ -108,23 +120,49 @@ class Shard:
             floor = partial + np.minimum(query * self.most, query * self.least)[order[at:]].sum()  # reached in any case
             if len(floor) >= k:
                 threshold = max(threshold, np.partition(floor, len(floor) - k)[len(floor) - k])
-        return self._best(np.concatenate([head, rest]), np.concatenate([scores, partial]), k)
-
-    def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][order], scores[order]
-
-
-def _search(k: int, width: int):
-    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found: list[pa.RecordBatch] = []
-        if queries.num_rows and candidates.num_rows:
-            shard = Shard(candidates.column("vec_id").to_numpy(), _matrix(candidates.column("terms"), width))
-            vectors = _matrix(queries.column("terms"), width)
-            for i, query_id in enumerate(queries.column("vec_id").to_pylist()):
-                ids, scores = shard.top(query_id, vectors[i], k)
-                found.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query_id, dtype=np.int64)), pa.array(ids), pa.array(scores)], schema=_FOUND_ARROW))
-        return pa.Table.from_batches(found, schema=_FOUND_ARROW)
+        return _best(self.ids[np.concatenate([head, rest])], np.concatenate([scores, partial]), k)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by score and then identifier, each identifier once."""
+    order = np.lexsort((ids, -scores))
+    if len(np.unique(ids)) < len(ids):
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    order = order[:k]
+    return ids[order], scores[order]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A task's rows, some SHARD_ROWS at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, SHARD_ROWS):
+            part = batch.slice(at, SHARD_ROWS)
+            if held and sum(x.num_rows for x in held) + part.num_rows > SHARD_ROWS:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _search(ids: np.ndarray, queries: np.ndarray, k: int):
+    """A task's candidates -> the k best of all of them for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(ids)
+        for rows in _shards(batches):
+            terms = rows.column("terms").combine_chunks()
+            wide = max(queries.shape[1], int(np.diff(terms.offsets.to_numpy()).max(initial=0)))
+            shard = Shard(rows.column("vec_id").to_numpy(), _matrix(terms, wide))
+            asked = np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
+            for i, query_id in enumerate(ids.tolist()):
+                had, scored = best[i]
+                more, scores = shard.top(query_id, asked[i], k, int(scored[k - 1]) if len(scored) == k else None)
+                best[i] = _best(np.concatenate([had, more]), np.concatenate([scored, scores]), k)
+        counts = [len(x) for x, _ in best]
+        if sum(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]))], schema=_FOUND_ARROW)
 
     return run
 
@@ -133,36 +171,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id``, ``rank`` (int, from 1), ``vec_id``, ``score`` of each query's k best candidates.
 
     Both tables have ``vec_id`` (long) and ``terms`` (array of long), as from
-    ``quantised``.  Candidates are all vectors except those with the query's own
+    ``quantised``, which leaves out nulls; other columns are left aside, whatever
+    their names.  Candidates are all vectors except those with the query's own
     identifier; fewer than k of them are all returned; ties go to the smaller
-    identifier.  Vectors of unequal length count as ending in zeros.  Scores
-    beyond the range of a long stop at its end.  A query identifier that repeats
-    gets each of its rows' candidates together, distinct ones only; an empty
-    table on either side gives no rows.
+    identifier.  Vectors of unequal length, empty and very long ones too, count as
+    ending in zeros.  Scores beyond the range of a long stop at its end.  An
+    identifier that repeats is one candidate, or one query, with the best score of
+    its vectors.  An empty table on either side gives no rows.
+
+    ``vectors`` is evaluated once for each chunk of queries.
     """
-    vectors, queries = durable(vectors), durable(queries)
-    stats = vectors.agg(F.count(F.lit(1)), F.max(F.size("terms"))).first()
-    most = queries.agg(F.max(F.size("terms"))).first()[0]
-    width = max(stats[1] or 0, most or 0)
-    shards, blocks = max(1, -(-stats[0] // SHARD_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    left = queries.withColumn("block", of(blocks)).withColumn("shard", numbers(shards))
-    right = vectors.withColumn("shard", of(shards)).withColumn("block", numbers(blocks))
-    cell = ("shard", "block")
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_search(k, width), _FOUND)
+    spark = queries.sparkSession
+    vectors, queries = vectors.select("vec_id", "terms"), durable(queries.select("vec_id", "terms").distinct())
+    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
+    numbered = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "terms"), F.lit(chunks)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found: list[DataFrame] = []
+    for i in range(chunks):
+        chunk = numbered.where(F.col("chunk") == i).select("vec_id", "terms").toArrow()  # some CHUNK_QUERIES rows
+        if not chunk.num_rows:
+            continue
+        terms = chunk.column("terms").combine_chunks()
+        asked = _matrix(terms, int(np.diff(terms.offsets.to_numpy()).max(initial=0)))
+        told = vectors.mapInArrow(_search(chunk.column("vec_id").to_numpy(), asked, k), _FOUND)
+        found.append(told if chunks == 1 else durable(told.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")))
+    release(queries)
+    every = found[0] if found else spark.createDataFrame([], _FOUND)
+    for more in found[1:]:
+        every = every.unionByName(more)
+    once = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS t FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS t FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), e AS (SELECT vec_id, unnest(t) AS w, unnest(range(len(t))) AS d FROM v
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score FROM e q JOIN e c ON q.d = c.d AND q.vec_id <> c.vec_id
+), e AS (SELECT r, vec_id, unnest(t) AS w, unnest(range(len(t))) AS d FROM v
+), p AS (
+  SELECT q.r AS q, c.r AS c, q.vec_id AS query_id, c.vec_id, sum(q.w * c.w)::BIGINT AS score FROM e q JOIN e c ON q.d = c.d AND q.vec_id <> c.vec_id
   WHERE q.vec_id % 100 = 0 GROUP BY ALL
+), s AS (SELECT query_id, vec_id, max(score) AS score FROM p GROUP BY ALL
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
