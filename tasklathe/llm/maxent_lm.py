@@ -16,9 +16,10 @@ over their ending's total.  Tokens are a text's words and one end mark.
 2. The most frequent tokens and, for all others, their endings are types.  Types
    are clustered into classes by the frequent tokens found beside them, over all
    training texts.
-3. Every task of the training pass takes gradient steps over its texts' tokens in
-   order (AdaGrad, minibatches) and hands in its weights in blocks; blocks are
-   averaged by how often a task has met each feature.
+3. Training runs in rounds, each over its own part of the texts, so that every
+   text is learnt once.  Every task takes gradient steps over its texts' tokens in
+   order (AdaGrad, minibatches), from where the last round ended, and hands in its
+   weights in blocks; blocks are averaged by how often a task has met each feature.
 4. The scoring pass evaluates whole texts in sparse numpy batches.  Counts of
    dictionary tokens are at hand; rarer tokens travel in packed blocks to their
    hash range, meet the count table there, and go back to their text as sums.
@@ -40,16 +41,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scatter, wordbuf
-from .sparkio import durable, width
+from .sparkio import collected, durable, width
 from .wordbuf import U64
 
 #: A dictionary token is this share of the training tokens at least.
 DICTIONARY_SHARE = 2e-6
 TOP_TYPES, ENDINGS, ANCHORS, CLASSES = 4096, 1024, 48, 32
-FEATURES, BATCH, RATE = 1 << 16, 8192, 0.25
+FEATURES, BATCH, RATE = 1 << 16, 1 << 14, 0.25
 #: Training tokens for each weight of the forks, and the weights at least and at most, as powers of two.
 SLOT_TOKENS, SLOT_BITS = 32, (16, 20)
-INNER_BATCH = 1 << 14
+INNER_BATCH = 1 << 15
+#: Rounds of gradient steps, each over its own part of the training texts, with weights averaged after each.
+ROUNDS = 2
+#: Training tokens of a task in a round, about, and tasks of a round, at least (if there are as many partitions).
+TASK_TOKENS, TASKS_LEAST = 2_000_000, 16
 _SLICE = 1 << 22
 _BLOCKS = 16
 _END = U64(0x5EED0FE4D0C5A11F)
@@ -263,7 +268,7 @@ def _summed(blocks: DataFrame) -> dict[int, np.ndarray]:
     level = blocks.withColumn("salt", (F.col("salt") / _FAN).cast("int")).groupBy("block", "salt").applyInArrow(_add_blocks, schema)
     level = level.withColumn("salt", (F.col("salt") / _FAN).cast("int")).groupBy("block", "salt").applyInArrow(_add_blocks, schema)
     out: dict[int, np.ndarray] = {}
-    for r in level.collect():  # a fixed number of blocks for every 4096 tasks
+    for r in collected(level):  # a fixed number of blocks for every 4096 tasks
         part = np.frombuffer(bytes(r.data), dtype=np.float32)
         out[r.block] = out[r.block] + part if r.block in out else part
     return out
@@ -298,10 +303,10 @@ def hashed_features(types: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def token_histories(code: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit hashes of each token's history by the tokens themselves: last, last two, second last, third last."""
+    """64-bit hashes of the tokens' histories by the tokens themselves, a row each: last, last two, second last, third last."""
     one, two, three = (_history(code.view(np.int64), at, k).view(U64) for k in (1, 2, 3))
     first = wordbuf.mix(one + U64(1 << 40))
-    return np.stack([first, wordbuf.mix(first + two), wordbuf.mix(two + U64(3 << 40)), wordbuf.mix(three + U64(4 << 40))], axis=1)
+    return np.stack([first, wordbuf.mix(first + two), wordbuf.mix(two + U64(3 << 40)), wordbuf.mix(three + U64(4 << 40))])
 
 
 def logits(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -370,48 +375,82 @@ def slot_bits(total: int) -> int:
     return min(most, max(least, (total // SLOT_TOKENS).bit_length()))
 
 
-def fork_slots(histories: np.ndarray, fork: np.ndarray, bits: int) -> np.ndarray:
-    """Weights of forks for the histories of their tokens."""
-    return (((histories + (fork.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None]) * U64(0xD6E8FEB86659FD93)) >> U64(64 - bits)).astype(np.int64)
+def fork_slots(histories: np.ndarray, who: np.ndarray, fork: np.ndarray, bits: int) -> np.ndarray:
+    """Weights of forks for the histories of their tokens ``who``, one row for each kind of history."""
+    slots = histories.take(who, axis=1)
+    slots += fork.astype(U64) * U64(0x9E3779B97F4A7C15)
+    slots *= U64(0xD6E8FEB86659FD93)
+    slots >>= U64(64 - bits)
+    return slots.view(np.int64)
 
 
 def _fork_logits(weights: np.ndarray, slots: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    return np.clip(weights[slots].sum(axis=1) + prior, -60, 60)
+    out = weights.take(slots[0])
+    for row in slots[1:]:
+        out += weights.take(row)
+    out += prior
+    return np.clip(out, -60, 60, out=out)
+
+
+@dataclass
+class Weights:
+    """What training has come to: weights and the sums of squared slopes, of the classes and of the forks."""
+
+    classes: np.ndarray
+    class_steep: np.ndarray
+    forks: np.ndarray
+    fork_steep: np.ndarray
+
+    @staticmethod
+    def start(bits: int) -> Weights:
+        first = np.float32(1e-2)
+        return Weights(np.zeros((FEATURES, CLASSES), dtype=np.float32), np.full((FEATURES, 1), first), np.zeros(1 << bits, dtype=np.float32), np.full(1 << bits, first))
+
+    def averaged(self, blocks: dict[int, np.ndarray]) -> Weights:
+        """The tasks' weights, each by how often it has met a feature; features that none has met stay as they are."""
+        if not blocks:
+            return self
+        told = np.concatenate([blocks[i].reshape(-1, CLASSES + 2) for i in range(_BLOCKS)])
+        met = told[:, -1:]
+        share = told[:, :-1] / np.maximum(met, 1)
+        classes, steep = np.where(met > 0, share[:, :-1], self.classes), np.where(met > 0, share[:, -1:], self.class_steep)
+        told = np.concatenate([blocks[i].reshape(-1, 3) for i in range(_BLOCKS, 2 * _BLOCKS)])
+        met = told[:, 2]
+        forks, fork_steep = (np.where(met > 0, told[:, i] / np.maximum(met, 1), x) for i, x in enumerate((self.forks, self.fork_steep)))
+        return Weights(*(x.astype(np.float32) for x in (classes, steep, forks, fork_steep)))
 
 
 class _Inner:
     """A task's fork weights in training."""
 
-    def __init__(self, tree: Tree, bits: int) -> None:
-        self.tree, self.bits = tree, bits
-        self.weights, self.met = np.zeros(1 << bits, dtype=np.float32), np.zeros(1 << bits, dtype=np.float32)
-        self.steep = np.full(1 << bits, 1e-2, dtype=np.float32)
+    def __init__(self, tree: Tree, start: Weights) -> None:
+        self.tree, self.bits = tree, len(start.forks).bit_length() - 1
+        self.weights, self.steep = start.forks.copy(), start.fork_steep.copy()
+        self.met = np.zeros(len(self.weights), dtype=np.float32)
 
     def learn(self, leaf: np.ndarray, histories: np.ndarray) -> None:
         for i in range(0, len(leaf), INNER_BATCH):
             who, fork, side = self.tree.paths(leaf[i : i + INNER_BATCH])
-            slots = fork_slots(histories[i : i + INNER_BATCH][who], fork, self.bits)
+            slots = fork_slots(histories[:, i : i + INNER_BATCH], who, fork, self.bits)
             slope = 1 / (1 + np.exp(-_fork_logits(self.weights, slots, self.tree.prior[fork - self.tree.leaves]))) - side
-            flat = slots.ravel()
-            met = np.bincount(flat, minlength=len(self.met))
-            touched = np.flatnonzero(met)
-            summed = np.bincount(flat, weights=np.repeat(slope, slots.shape[1]), minlength=len(self.met))[touched].astype(np.float32)
-            self.steep[touched] += summed**2
-            self.weights[touched] -= RATE * summed / np.sqrt(self.steep[touched])
-            self.met[touched] += met[touched]
+            summed = np.bincount(slots.ravel(), weights=np.tile(slope, len(slots)), minlength=len(self.met)).astype(np.float32)
+            self.met += np.bincount(slots.ravel(), minlength=len(self.met))
+            self.steep += summed * summed
+            summed /= np.sqrt(self.steep)
+            summed *= RATE
+            self.weights -= summed
 
 
-def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray, tree: Tree, bits: int):
-    """Gradient steps over a task's texts -> its weights times the meetings of each feature, and the meetings, in blocks.
+def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray, tree: Tree, start: Weights):
+    """Gradient steps over a task's texts -> its weights and slopes times the meetings of each feature, and the meetings, in blocks.
 
     The classes' blocks come first, then those of the forks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
-        steep = np.full((FEATURES, 1), 1e-2, dtype=np.float32)
+        weights, steep = start.classes.copy(), start.class_steep.copy()
         met = np.zeros(FEATURES, dtype=np.float32)
-        inner = _Inner(tree, bits)
+        inner = _Inner(tree, start)
         for _, _, _, code, ending, at in _slices(batches, counts.ranges):
             place = counts.places(code)
             types = counts.types(place, ending)
@@ -419,7 +458,8 @@ def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray, tree: Tree, b
             wanted, rows = classes[types], hashed_features(types, at)
             for i in range(0, len(types), BATCH):
                 which, goal = rows[i : i + BATCH], wanted[i : i + BATCH]
-                slope = np.exp(logits(weights, which, prior))
+                slope = logits(weights, which, prior)
+                np.exp(slope, out=slope)
                 slope /= slope.sum(axis=1, keepdims=True)
                 slope[np.arange(len(goal)), goal] -= 1
                 flat = which.ravel()
@@ -432,8 +472,8 @@ def _learn(counts: Counts, classes: np.ndarray, prior: np.ndarray, tree: Tree, b
                 steep[touched] += (summed**2).mean(axis=1, keepdims=True)
                 weights[touched] -= RATE * summed / np.sqrt(steep[touched])
                 met[touched] += np.diff(np.append(starts, len(flat)))
-        told = np.concatenate([weights * met[:, None], met[:, None]], axis=1)
-        forks = np.stack([inner.weights * inner.met, inner.met], axis=1)
+        told = np.concatenate([weights * met[:, None], steep * met[:, None], met[:, None]], axis=1)
+        forks = np.stack([inner.weights * inner.met, inner.steep * inner.met, inner.met], axis=1)
         for i, block in enumerate([*np.array_split(told, _BLOCKS), *np.array_split(forks, _BLOCKS)]):
             yield pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), pa.array([0], type=pa.int32()), pa.array([block.tobytes()], type=pa.binary())], names=["block", "salt", "data"])
 
@@ -456,8 +496,9 @@ class Model:
         out, histories, bits = np.zeros(len(leaf)), token_histories(code, at), len(self.forks).bit_length() - 1
         for i in range(0, len(leaf), INNER_BATCH):
             who, fork, side = self.tree.paths(leaf[i : i + INNER_BATCH])
-            told = _fork_logits(self.forks, fork_slots(histories[i : i + INNER_BATCH][who], fork, bits), self.tree.prior[fork - self.tree.leaves])
-            told = np.logaddexp(np.float32(0), np.where(side == 1, -told, told))
+            told = _fork_logits(self.forks, fork_slots(histories[:, i : i + INNER_BATCH], who, fork, bits), self.tree.prior[fork - self.tree.leaves])
+            np.negative(told, out=told, where=side == 1)
+            told = np.log1p(np.exp(told, out=told), out=told)  # logits are held within 60
             out[i : i + INNER_BATCH] = np.bincount(who, weights=told, minlength=len(leaf[i : i + INNER_BATCH])) / -np.log(10)
         other = leaf >= len(self.counts.codes)
         out[other] -= self.rare[leaf[other] - len(self.counts.codes)]
@@ -475,7 +516,7 @@ class Model:
 
 
 def fit(docs: DataFrame, ranges: int) -> tuple[Model, DataFrame]:
-    """A model of the texts of ``docs`` (column ``text``), and the count table, one row a hash range."""
+    """A model of the texts of ``docs`` (``doc_id``, which plays no part in scores, and ``text``), and the count table, one row a hash range."""
     table = durable(docs.mapInArrow(_count(ranges), _TABLE).groupBy("part").applyInArrow(_sum_counts, _TABLE))
     total, kinds = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     often = table.select("part", "items", "counts", "endings").mapInArrow(_dictionary(total), "code long, count long, ending int").toPandas()  # 1 / DICTIONARY_SHARE rows at most
@@ -500,15 +541,12 @@ def fit(docs: DataFrame, ranges: int) -> tuple[Model, DataFrame]:
     rare = rest[ENDINGS:] + 1.0
     tree = grow(np.append(number + 1.0, rare), classes[np.append(np.where(top >= 0, top, TOP_TYPES + ending), TOP_TYPES + np.arange(ENDINGS))])
     bits = slot_bits(total)
-    learnt = _summed(docs.mapInArrow(_learn(counts, classes, prior, tree, bits), "block int, salt int, data binary"))
-    weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
-    forks = np.zeros(1 << bits, dtype=np.float32)
-    if learnt:
-        told = np.concatenate([learnt[i].reshape(-1, CLASSES + 1) for i in range(_BLOCKS)])
-        weights = (told[:, :-1] / np.maximum(told[:, -1:], 1)).astype(np.float32)
-        told = np.concatenate([learnt[i].reshape(-1, 2) for i in range(_BLOCKS, 2 * _BLOCKS)])
-        forks = told[:, 0] / np.maximum(told[:, 1], 1)
-    return Model(counts, classes, weights, prior, np.zeros(CLASSES), tree, forks, np.log10(rare)), table
+    learnt = Weights.start(bits)
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))  # copies of a text spread over the rounds
+    tasks = max(TASKS_LEAST, -(-total // (ROUNDS * TASK_TOKENS)))  # as every task hands in a model
+    for k in range(ROUNDS):
+        learnt = learnt.averaged(_summed(docs.where(turn == k).coalesce(tasks).mapInArrow(_learn(counts, classes, prior, tree, learnt), "block int, salt int, data binary")))
+    return Model(counts, classes, learnt.classes, prior, np.zeros(CLASSES), tree, learnt.forks, np.log10(rare)), table
 
 
 _PART = "kind int, part int, items binary, counts binary, endings binary, total long, kinds long"
@@ -620,7 +658,7 @@ def score(docs: DataFrame, learnt: Column) -> DataFrame:
     octets = F.octet_length(F.coalesce("text", F.lit("")))
     most = docs.agg(F.sum(((octets + 1) / 2).cast("long") + 1)).first()[0] or 0  # tokens, if every other byte parts two words
     ranges = scatter.ranges_for(most, width(spark))
-    model, table = fit(docs.where(learnt).select("text"), ranges)
+    model, table = fit(docs.where(learnt), ranges)
     blocks = docs.mapInArrow(_score(model), _PART).unionByName(table)
     answers = blocks.groupBy("part").applyInArrow(_answer(ranges), _PART)
     return answers.groupBy("part").applyInArrow(_finish(model.counts.total, model.counts.kinds), _RESULT)

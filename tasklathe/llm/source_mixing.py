@@ -114,11 +114,11 @@ def mix(docs: DataFrame, size: Column, weight: Column) -> DataFrame:
     copy for each complete epoch of its source, none if the source has no words at
     all.  Repeated ids share a draw, as all null ids do; among them smaller sizes
     come first, and of rows alike in id and size those with the smaller digest of
-    all columns.  Columns with an output's name are replaced; names that begin
-    with ``__mix`` are this function's own.  An empty table gives an empty result.
+    all columns.  Columns with an output's name, and those whose names begin
+    with ``__mix``, are replaced or dropped.  An empty table gives an empty result.
     """
     out = ("size", "source_size", "target", "taken", "copies")
-    kept = [c for c in docs.columns if c not in out]
+    kept = [c for c in docs.columns if c not in out and not c.startswith("__mix")]
     keyed = docs.select(*kept, size.cast("long").alias("__mix_size"), weight.alias("__mix_weight")).withColumn("__mix_key", draw_key(F.col("doc_id"), F.col("__mix_weight"))).drop("__mix_weight")
     rows = durable(keyed.select("source", F.col("doc_id").alias("id"), F.col("__mix_size").alias("size"), F.col("__mix_key").alias("key")))
     by_source = durable(rows.groupBy("source").agg(F.sum("size").alias("source_size")))

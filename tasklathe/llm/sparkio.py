@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -60,6 +60,12 @@ def durable(df: DataFrame) -> DataFrame:
     return kept
 
 
+def collected(df: DataFrame) -> list[Row]:
+    """The rows of a small result; the shuffle files that led to it go at once."""
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").collect()
+
+
 def rewritten(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; ``release`` removes the files."""
     spark = df.sparkSession
