@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import level_code, moment, rfc3339, stable_id, status_code, to_millis, wire_text
 
-#: Transitions into these states are told; the others pass silently.
+# Transitions into these states are told; the others pass silently.
 TOLD = ("PENDING", "RUNNING", "COMPLETED", "RETRY", "FAILED", "CANCELLED")
-#: For these the source leaves the queue's name empty.
+# For these the source leaves the queue's name empty.
 UNNAMED = ("COMPLETED", "RETRY", "FAILED")
 
 
@@ -35,6 +35,23 @@ def to_relay(events: DataFrame, node_id: str) -> DataFrame:
     return events.where(F.col("node_id").isin("", node_id))
 
 
+#: Events that a fan-out keeps for consumers that lag.
+FAN_OUT = 4096
+
+
+def lagging(polls: DataFrame, capacity: int = FAN_OUT) -> DataFrame:
+    """``consumer``, ``sent``, ``missed``, ``got``: what consumers of a bounded fan-out lose and receive.
+
+    polls has ``consumer`` and ``sent``, the number of events sent when it reads all
+    there is.  Only the newest ``capacity`` are still there; older unread ones are
+    lost to it.
+    """
+    before = F.coalesce(F.lag("sent").over(Window.partitionBy("consumer").orderBy("sent")), F.lit(0))
+    oldest = F.col("sent") - capacity
+    told = polls.withColumn("read", before)
+    return told.select("consumer", "sent", F.greatest(F.lit(0), oldest - F.col("read")).alias("missed"), (F.col("sent") - F.greatest("read", oldest)).alias("got"))
+
+
 def relayed(*streams: DataFrame) -> DataFrame:
     """The union of nodes' events, each once."""
     whole = streams[0]

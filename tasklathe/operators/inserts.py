@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import moment, partition_of, stable_id
 from ..functions.scalar import json_text
 
+# Defaults of a new task.
 DEFAULTS = {"priority": 0, "max_retries": 3, "timeout_seconds": 300, "metadata": "{}"}
 
 
@@ -65,8 +66,6 @@ def log_rows(batches: DataFrame, as_of, first_id=0) -> DataFrame:
     entry = batches.select("batch_id", F.posexplode(F.arrays_zip(*names)).alias("place", "entry"))
     known = F.col("entry.level").isin("DEBUG", "INFO", "WARN", "ERROR")
     sizes = batches.select("batch_id", F.size("task_run_id").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
-    from pyspark.sql import Window
-
     before = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("batch_id", "before")
     at = moment(as_of).cast("timestamp")
@@ -76,6 +75,17 @@ def log_rows(batches: DataFrame, as_of, first_id=0) -> DataFrame:
     )
 
 
+def flushes(logs: DataFrame, rows: int = 100, interval_ms: int = 500) -> DataFrame:
+    """Log rows with the flush that writes them: ``tick`` of the interval, and ``part`` within it, one for each full buffer.
+
+    The buffer is written when it is full and at every tick, so a tick's rows are
+    cut into parts of ``rows``; only a tick's rows are ordered together.
+    """
+    tick = F.floor(F.col("timestamp_ms") / interval_ms).cast("long")
+    order = Window.partitionBy("tick").orderBy("timestamp_ms", "id")
+    return logs.withColumn("tick", tick).withColumn("part", F.floor((F.row_number().over(order) - 1) / rows).cast("long"))
+
+
 def new_signals(requests: DataFrame, as_of) -> DataFrame:
     """Pending signals from ``task_id``, ``signal_name``, ``payload``; one row each, repeats told apart by ``seq``."""
     seq = F.col("seq").cast("string") if "seq" in requests.columns else F.lit("0")

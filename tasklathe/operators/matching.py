@@ -48,13 +48,14 @@ def deregistered(slots: DataFrame, worker_ids: DataFrame) -> DataFrame:
 
 
 def worker_slots(workers: DataFrame, partitions: int) -> DataFrame:
-    """One waiting slot for each free place of a worker: over its queues, then their partitions, in order.
+    """A waiting slot on every partition of every queue of a worker that has a free place, whatever their number.
 
-    workers has ``worker_id``, ``queues`` (array) and ``free``.
+    workers has ``worker_id``, ``queues`` (array) and ``free``.  How many tasks a
+    worker takes is bounded where it is matched (``match_workers``).
     """
     spread = workers.select("worker_id", "free", F.posexplode("queues").alias("q", "queue_name")).select("*", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("partition_id"))
     slots = spread.withColumn("slot_seq", F.col("q") * partitions + F.col("partition_id"))
-    return slots.where(F.col("slot_seq") < F.col("free")).select("worker_id", "queue_name", "partition_id", "slot_seq")
+    return slots.where("free > 0").select("worker_id", "queue_name", "partition_id", "slot_seq")
 
 
 def _ranked(frame: DataFrame, *order: str) -> DataFrame:
@@ -68,6 +69,24 @@ def match_fifo(tasks: DataFrame, slots: DataFrame) -> DataFrame:
     return left.join(right, ["queue_name", "partition_id", "k"]).select("id", "slot", "queue_name", "partition_id")
 
 
+def match_workers(tasks: DataFrame, workers: DataFrame, partitions: int, rounds: int) -> DataFrame:
+    """``id``, ``worker_id``, ``queue_name``, ``partition_id``, ``round``: tasks that waiting workers take.
+
+    In each round every worker with a place left waits on all partitions of its
+    queues and takes the first task that it is offered; the others go back.  With
+    as many rounds as the largest number of free places all places can be filled.
+    """
+    open_tasks, hits = tasks, None
+    for turn in range(1, rounds + 1):
+        slots = worker_slots(workers.where(F.col("free") >= turn), partitions).withColumns({"seq": F.lit(0), "slot": F.col("worker_id")})
+        offered = match_fifo(open_tasks, slots).withColumnRenamed("slot", "worker_id").join(open_tasks.select("id", "seq"), "id")
+        first = Window.partitionBy("worker_id").orderBy("seq", "id")
+        taken = offered.withColumn("n", F.row_number().over(first)).where("n = 1").select("id", "worker_id", "queue_name", "partition_id", F.lit(turn).alias("round"))
+        hits = taken if hits is None else hits.unionByName(taken)
+        open_tasks = leftovers(open_tasks, taken)
+    return hits
+
+
 def leftovers(tasks: DataFrame, matched: DataFrame) -> DataFrame:
     return tasks.join(matched.select("id"), "id", "left_anti")
 

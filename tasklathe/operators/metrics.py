@@ -24,6 +24,15 @@ def event_counters(events: DataFrame, as_sent: bool = True) -> DataFrame:
     return told.groupBy("metric", "queue_name").agg(F.count(F.lit(1)).alias("value"))
 
 
+def exposition(metrics: DataFrame, prefix: str = "") -> DataFrame:
+    """``line``: metrics in the text form that scrapers read, the queue as a label where there is one."""
+    safe = F.col("queue_name")
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        safe = F.replace(safe, F.lit(plain), F.lit(escaped))
+    label = F.when(F.coalesce("queue_name", F.lit("")) != "", F.concat(F.lit('{queue="'), safe, F.lit('"}'))).otherwise("")
+    return metrics.select(F.concat(F.lit(prefix), "metric", label, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
 def dead_lettered(dead_letters: DataFrame) -> DataFrame:
     return dead_letters.groupBy("queue_name").agg(F.count(F.lit(1)).alias("value"))
 

@@ -52,8 +52,8 @@ def page_of_tasks(tasks: DataFrame, queue: str | None = None, status: int | str
     A token is an offset as text; one that can't be read is 0.
     """
     offset = int(token) if token.isdecimal() else 0
-    page = list_tasks(tasks, queue, status, size, offset)
-    return page, str(offset + size) if page.count() == size else ""
+    page = list_tasks(tasks, queue, status, size, offset).collect()  # run once; ``size`` rows at most
+    return tasks.sparkSession.createDataFrame(page, tasks.schema), str(offset + size) if len(page) == size else ""
 
 
 def list_dead_letters(dead_letters: DataFrame, queue: str | None = None, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
@@ -94,6 +94,11 @@ def run_logs(logs: DataFrame, run_id: str, after_id: int | None = None, limit: i
     return found.orderBy("timestamp_ms", "id").limit(limit)
 
 
+def log_history(logs: DataFrame, run_id: str, include_history: bool = False, limit: int = 10_000) -> DataFrame:
+    """What a log stream sends, and a relay between nodes: the history if it is asked for, and then it ends."""
+    return run_logs(logs if include_history else logs.limit(0), run_id, limit=limit)
+
+
 def recent(events: DataFrame, limit: int = 200, at: str = "timestamp_ms") -> DataFrame:
     """The newest events."""
     return events.orderBy(F.desc(at), F.desc("event_id")).limit(limit)
@@ -155,10 +160,27 @@ def split_signals(signals: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Data
     return told.where("reason IS NULL").drop("__status", "reason"), told.where("reason IS NOT NULL").drop("__status")
 
 
+def held_tasks(runs: DataFrame) -> DataFrame:
+    """``worker_id``, ``task_id`` of running runs, each pair once."""
+    return runs.where("status = 'RUNNING'").select("worker_id", "task_id").distinct()
+
+
+def with_load(workers: DataFrame, held: DataFrame) -> DataFrame:
+    """Workers with the number of tasks they hold, ``active_tasks``, and their ``free`` places."""
+    load = held.groupBy(F.col("worker_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("active_tasks"))
+    told = workers.join(load, "id", "left").withColumn("active_tasks", F.coalesce("active_tasks", F.lit(0)))
+    return told.withColumn("free", F.col("concurrency") - F.col("active_tasks"))
+
+
+def holders_of(held: DataFrame, task_ids: DataFrame) -> DataFrame:
+    """``holders`` from pairs of worker and task."""
+    return held.join(task_ids.select("task_id"), "task_id", "left_semi").groupBy("task_id").agg(F.min("worker_id").alias("worker_id"))
+
+
 def holders(workers: DataFrame, task_ids: DataFrame) -> DataFrame:
     """``task_id``, ``worker_id``: the worker that has each task among its ``active_tasks``, the smallest id if several."""
     held = workers.select(F.col("id").alias("worker_id"), F.explode("active_tasks").alias("task_id"))
-    return held.join(task_ids.select("task_id"), "task_id", "left_semi").groupBy("task_id").agg(F.min("worker_id").alias("worker_id"))
+    return holders_of(held, task_ids)
 
 
 def pending_by_queue(tasks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import read_queries, state_queries  # noqa: F401  (registering)
+from . import change_queries, read_queries, state_queries  # noqa: F401  (registering)
 from .registry import ORACLES, QUERIES
 
 

@@ -48,8 +48,7 @@ def distinct_queues(v):
 
 
 def _active(v):
-    held = v.runs.where("status = 'RUNNING'").groupBy(F.col("worker_id").alias("id")).agg(F.collect_set("task_id").alias("active_tasks"))
-    return v.workers.join(held, "id", "left").withColumn("active_tasks", F.coalesce("active_tasks", F.array().cast("array<string>")))
+    return R.with_load(v.workers, R.held_tasks(v.runs))
 
 
 ACTIVE = """held AS (SELECT worker_id, count(DISTINCT task_id) AS n FROM runs WHERE status = 'RUNNING' GROUP BY worker_id),
@@ -58,18 +57,17 @@ ACTIVE = """held AS (SELECT worker_id, count(DISTINCT task_id) AS n FROM runs WH
 
 @query("workers", "runs", sql=f", {ACTIVE} SELECT coalesce(sum(n), 0)::BIGINT AS active_tasks, sum(concurrency)::BIGINT AS concurrency, count(*) AS workers FROM active")
 def worker_totals(v):
-    return R.worker_totals(_active(v).withColumn("active_tasks", F.size("active_tasks")))
+    return R.worker_totals(_active(v))
 
 
 @query("workers", "runs", sql=f", {ACTIVE} SELECT id, (concurrency - n)::INTEGER AS free FROM active")
 def free_slots(v):
-    return R.free_slots(_active(v)).select("id", "free")
+    return _active(v).select("id", "free")
 
 
 @query("runs", "tasks", sql="SELECT task_id, min(worker_id) AS worker_id FROM runs WHERE status = 'RUNNING' AND task_id IN (SELECT id FROM tasks WHERE status = 'RUNNING') GROUP BY task_id")
 def task_holders(v):
-    held = v.runs.where("status = 'RUNNING'").groupBy(F.col("worker_id").alias("id")).agg(F.collect_set("task_id").alias("active_tasks"))
-    return R.holders(held, v.tasks.where("status = 'RUNNING'").select(F.col("id").alias("task_id")))
+    return R.holders_of(R.held_tasks(v.runs), v.tasks.where("status = 'RUNNING'").select(F.col("id").alias("task_id")))
 
 
 @query("tasks", sql="SELECT * FROM tasks WHERE id = '17'")

@@ -267,7 +267,7 @@ def partition_tree(v):
     return M.partition_tree(v.spark, 40, 3).withColumn("children", F.size("children"))
 
 
-@query("workers", sql="SELECT w.id AS worker_id, 'q' || (s // 4) AS queue_name, (s % 4)::INTEGER AS partition_id, s::INTEGER AS slot_seq FROM workers w, range(8) t(s) WHERE s < w.concurrency")
+@query("workers", sql="SELECT w.id AS worker_id, 'q' || (s // 4) AS queue_name, (s % 4)::INTEGER AS partition_id, s::INTEGER AS slot_seq FROM workers w, range(8) t(s) WHERE w.concurrency > 0")
 def worker_slots(v):
     return M.worker_slots(v.workers.select(F.col("id").alias("worker_id"), F.array(F.lit("q0"), F.lit("q1")).alias("queues"), F.col("concurrency").alias("free")), 4)
 

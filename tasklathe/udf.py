@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = {"debug": 1, "info": 2, "warn": 3, "error": 4}
+from .schemas import LOG_LEVEL
+
+LEVELS = {name.lower(): code for name, code in LOG_LEVEL.items()}
 RESULT = "run_id string, task_id string, success boolean, retryable boolean, output string, error_message string, logs array<struct<seq:int,level:int,message:string,metadata:string>>"
 
 
@@ -72,8 +74,14 @@ def handle_one(handler: Callable[[TaskContext], Any], row: dict[str, Any]) -> di
     return out | {"logs": context.entries}
 
 
-def run_handlers(assignments: DataFrame, handler: Callable[[TaskContext], Any]) -> DataFrame:
-    """Results of running the handler on every assignment (``run_id``, ``task_id``, and what the context shows)."""
+def run_handlers(assignments: DataFrame, handler: Callable[[TaskContext], Any], at_once: int | None = None) -> DataFrame:
+    """Results of running the handler on every assignment (``run_id``, ``task_id``, and what the context shows).
+
+    A partition's handlers run one after another, so ``at_once`` partitions are so
+    many handlers at a time at most.
+    """
+    if at_once is not None:
+        assignments = assignments.repartition(at_once)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

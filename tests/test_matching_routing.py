@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tasklathe.operators import cluster as C
 from tasklathe.operators import matching as M
 from tasklathe.operators import metrics as N
 from tasklathe.operators import routing as G
@@ -63,10 +64,10 @@ def test_tree(spark, n, b):
     assert sum(len(r.children) for r in rows.values()) == n - 1
 
 
-def test_worker_slots_follow_free_places(spark):
+def test_workers_with_a_free_place_wait_on_every_partition(spark):
     w = spark.createDataFrame([("w", ["a", "b"], 5), ("x", ["a"], 0)], "worker_id string, queues array<string>, free int")
     got = sorted((r.queue_name, r.partition_id) for r in M.worker_slots(w, 4).collect())
-    assert got == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
+    assert got == [(q, p) for q in "ab" for p in range(4)]
 
 
 def nodes(spark, *names):
@@ -105,3 +106,23 @@ def test_counters(spark):
     sent = {(r.metric, r.queue_name): r.value for r in N.event_counters(e).collect()}
     assert sent == {("tasks_created_total", "q"): 2, ("tasks_completed_total", ""): 1, ("tasks_retried_total", ""): 1}
     assert {(r.metric, r.queue_name) for r in N.event_counters(e, as_sent=False).collect()} >= {("tasks_completed_total", "q")}
+
+
+def test_one_place_waits_on_every_partition(spark):
+    """A worker with one free place takes a task of its last queue's last partition, and only one."""
+    workers = spark.createDataFrame([("w", ["a", "b"], 1), ("busy", ["a", "b"], 0)], "worker_id string, queues array<string>, free int")
+    tasks = spark.createDataFrame([("t1", "b", 3, 1), ("t2", "b", 3, 2), ("t3", "b", 2, 3)], "id string, queue_name string, partition_id int, seq long")
+    assert M.worker_slots(workers, 4).count() == 8
+    assert [(r.id, r.worker_id, r["round"]) for r in M.match_workers(tasks, workers, 4, rounds=2).collect()] == [("t1", "w", 1)]
+    two = workers.withColumn("free", F.lit(2))
+    assert sorted((r.id, r["round"]) for r in M.match_workers(tasks, two.where("worker_id = 'w'"), 4, rounds=2).collect()) == [("t1", 1), ("t2", 2)]
+
+
+def test_circuit_breaker():
+    circuit = C.Circuit()
+    assert circuit.call(0, False, False) == (2, "failed") and circuit.state == "closed"
+    assert circuit.call(1000, False, True) == (1, "failed") and circuit.state == "open" and circuit.opened == 1
+    assert circuit.call(5000, True, True) == (0, "refused")
+    assert circuit.call(11_000, False, True) == (1, "failed") and circuit.opened == 2
+    assert circuit.call(21_000, True, True) == (1, "ok") and circuit.state == "closed" and circuit.failures == 0
+    assert circuit.call(22_000, False, True) == (2, "ok")

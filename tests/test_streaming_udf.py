@@ -95,6 +95,26 @@ def test_signal_inbox(rocks, tmp_path):
     assert [tuple(r) for r in drain(St.received_signals(stream), tmp_path, "append", "inbox").collect()] == [("t", "a", "2")]
 
 
+def test_signal_inbox_receive_before_its_signal(rocks, tmp_path):
+    schema = "task_id string, seq int, kind string, signal_name string, payload string"
+    path = str(tmp_path / "w")
+    for rows in ([("t", 1, "receive", "a", None), ("t", 2, "receive", "b", None)], [("t", 3, "send", "b", "1"), ("t", 4, "send", "b", "2")], [("t", 5, "send", "a", "3"), ("t", 6, "receive", "b", None)]):
+        rocks.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert sorted(tuple(r) for r in drain(St.received_signals(stream), tmp_path, "append", "early").collect()) == [("t", "a", "3"), ("t", "b", "1"), ("t", "b", "2")]
+
+
+def test_lease_timers_old_rows_change_nothing(rocks, tmp_path):
+    schema = "run_id string, ts timestamp, lease_ends timestamp"
+    path = str(tmp_path / "o")
+    batches = [[("kept", at(20), at(5000)), ("done", at(5), None), ("late", at(0), at(30))], [("kept", at(0), at(30)), ("done", at(4), at(30)), ("done", at(6), at(31))], [("tick", at(1000), at(9000))], [("tick", at(1100), at(9000))], [("late", at(1101), at(2000)), ("tick", at(3000), at(9000))], [("tick", at(3100), at(9000))]]
+    for rows in batches:
+        rocks.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(St.expired_lease_stream(stream, "60 seconds"), tmp_path, "append", "old")
+    assert [r.run_id for r in got.collect()] == ["late"]
+
+
 def test_lease_timers(rocks, tmp_path):
     schema = "run_id string, ts timestamp, lease_ends timestamp"
     rows = [("late", at(0), at(30)), ("kept", at(0), at(30)), ("kept", at(20), at(5000)), ("done", at(0), at(30)), ("done", at(5), None)]
