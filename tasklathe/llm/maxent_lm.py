@@ -648,7 +648,8 @@ def score(docs: DataFrame, learnt: Column) -> DataFrame:
 
     docs has ``doc_id`` (long) and ``text``.  Gives ``doc_id``, ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score`` (add-one unigrams) and ``score``
-    (the model), both as log10 probabilities of the text.  Null texts read as
+    (the model), both as log10 probabilities of the text, however long it is.
+    Other columns of docs are left aside, whatever their names.  Null texts read as
     empty, which is the end mark alone; repeated rows and identifiers are scored
     row by row, null identifiers stay null.  Without training texts every token
     is unseen.  An empty table gives no rows.

@@ -296,18 +296,20 @@ def _run(model: bytes, text_col: str, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         gc.disable()  # lists of ids by the million, none of them in cycles
-        for batch in batches:
-            for a, b, _, _ in wordbuf.pieces(batch.column(text_col), _SLICE):
-                part = batch.column(text_col).slice(a, b - a).fill_null("").to_pylist()
-                ids = codec.encode_all(part)
-                decoded = [codec.decode(i) for i in ids]
-                if checked:
-                    codec.check(part, ids, decoded)
-                kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
-                counts = pa.array([len(i) // 4 for i in ids], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([*kept, counts, pa.array(ids, type=pa.binary()), pa.array(decoded, type=pa.string())], names=[*batch.schema.names, "n_tokens", "token_ids", "decoded"])
-        gc.enable()
-        wordbuf.give_back()
+        try:
+            for batch in batches:
+                for a, b, _, _ in wordbuf.pieces(batch.column(text_col), _SLICE):
+                    part = batch.column(text_col).slice(a, b - a).fill_null("").to_pylist()
+                    ids = codec.encode_all(part)
+                    decoded = [codec.decode(i) for i in ids]
+                    if checked:
+                        codec.check(part, ids, decoded)
+                    kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
+                    counts = pa.array([len(i) // 4 for i in ids], type=pa.int64())
+                    yield pa.RecordBatch.from_arrays([*kept, counts, pa.array(ids, type=pa.binary()), pa.array(decoded, type=pa.string())], names=[*batch.schema.names, "n_tokens", "token_ids", "decoded"])
+        finally:
+            gc.enable()
+            wordbuf.give_back()
 
     return run
 
@@ -315,6 +317,9 @@ def _run(model: bytes, text_col: str, checked: bool):
 def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", checked: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens`` (long), ``token_ids`` (binary, little-endian 32-bit) and ``decoded`` (string).
 
+    With ``checked``, one text whose ids or decoding differ from the library's ends
+    the whole job with an error that shows its beginning.
+
     model_path is a file of the driver; its bytes travel with the tasks (they
     are a fixed half megabyte).  Whole texts are encoded with begin and end ids
     and without sampling.  Null texts read as empty and give the two marks and

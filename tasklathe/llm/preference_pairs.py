@@ -23,7 +23,8 @@ def masked_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rendered turns of every pair: ``pair_id``, ``part``, ``turn``, ``role``, ``rendered``, ``trained``.
 
     Both tables have ``pair_id``, ``turn`` (long), ``role`` and ``text``; other
-    columns are left aside.  ``part`` is prompt, chosen or rejected; the prompt's
+    columns are left aside, whatever their names.  Texts of any length stay whole,
+    each in its row.  ``part`` is prompt, chosen or rejected; the prompt's
     turns come once.  Pairs that lack a side give no rows; equal sides give a
     prompt and no completions.  A null role reads as ``user``, a null text as
     empty, when rendered; they are equal only to nulls.  Turns without a number
@@ -52,8 +53,10 @@ def masked_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def assemble(turns: DataFrame) -> DataFrame:
     """One row a pair: ``prompt``, ``chosen``, ``rejected`` and the spans of trained characters of either completion.
 
-    Turns come by number, messages of one turn by their rendering.  For
-    conversations that fit a row each.
+    Turns come by number, messages of one turn by their rendering, repeats each
+    for themselves.  A pair's three strings have to fit a row, so very long
+    conversations are better left as turns.  A part without turns is the empty
+    string; other columns are left aside; an empty table gives no rows.
     """
     one = F.struct("turn", "rendered", "trained")
     kept = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, one)))

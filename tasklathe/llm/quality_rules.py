@@ -122,8 +122,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 
     base_failed marks texts of fewer than 20 words and texts of which repeated
     eight-word windows cover more than 30 %.  kept is false for those, else the
-    rule table's verdict.  Null and empty texts fail.  Rows are judged alone, so
-    repeats and other columns don't matter; an empty table stays empty.
+    rule table's verdict.  Null and empty texts fail.  Texts are judged whole,
+    with a few arrays of their words in memory.  A value at a threshold passes.
+    Stop words are told by their lower-case form as it is written, so "The" is
+    none.  Rows are judged alone, so repeats don't matter; columns named like the
+    counts, ``base_failed`` or ``kept`` are replaced; an empty table stays empty.
     """
     counted = count_columns(docs, text_col).drop("base_failed", "kept")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

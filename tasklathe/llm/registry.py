@@ -15,7 +15,7 @@ from .sparkio import durable, table
 
 def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n (chosen) and 2n + 1 (rejected) are pair n."""
-    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
+    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.expr("conv_id div 2"))
     side = F.pmod(F.col("conv_id"), F.lit(2))
     return preference_pairs.masked_turns(turns.where(side == 0), turns.where(side == 1))
 

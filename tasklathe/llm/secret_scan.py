@@ -88,7 +88,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     kind is an index into ``KINDS``; base_spans holds the first three kinds,
     spans also the linked weak candidates.  Null texts read as empty and have
-    neither.  Whole texts are scanned; other columns stay, except that columns
+    neither.  Spans that start together are listed by kind and then end; spans of
+    several kinds may overlap.  Whole texts are scanned, however long; a text's
+    linking takes time in proportion to the product of its parts, so thousands of
+    them in one text are slow.  Other columns stay, except that columns
     named ``base_spans`` or ``spans`` are replaced.  Repeated rows and empty
     tables give what each row alone gives.
     """
