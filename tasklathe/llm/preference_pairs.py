@@ -8,7 +8,8 @@ trained on (assistant turns only).
 
 Turns stay rows: sides are compared by per-turn digests and a minimum per pair,
 both partial aggregates, so no conversation is gathered in one task however long
-it is.  ``assemble`` joins a pair's turns into strings for export.
+it is.  ``assemble`` joins a pair's turns into one row, prompt and both masked
+completions side by side; a pair of very many turns becomes several such rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
+#: Turn numbers that one row of ``assemble`` holds.
+BLOCK = 256
 
 
 def masked_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -50,17 +53,22 @@ def masked_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return told.select("pair_id", part.alias("part"), "turn", role.alias("role"), rendered.alias("rendered"), (~common & (role == "assistant")).alias("trained"))
 
 
-def assemble(turns: DataFrame) -> DataFrame:
-    """One row a pair: ``prompt``, ``chosen``, ``rejected`` and the spans of trained characters of either completion.
+def assemble(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Paired completions: ``pair_id``, ``segment``, ``prompt``, ``chosen``, ``rejected``, and the spans of trained characters of either completion.
 
-    Turns come by number, messages of one turn by their rendering, repeats each
-    for themselves.  A pair's three strings have to fit a row, so very long
-    conversations are better left as turns.  A part without turns is the empty
-    string; other columns are left aside; an empty table gives no rows.
+    A segment is the turns whose number divided by ``block`` has one whole part, so
+    a pair of fewer turns than that is one row, and a longer one is several, whose
+    strings follow each other by segment and which no single task has to hold.
+    Spans count code points from the start of the segment's own string, ends
+    exclusive.  Turns come by number, messages of one turn by their rendering,
+    repeats each for themselves; all messages of one turn number, however long,
+    are in one row.  A part without turns is the empty string with no spans;
+    other columns are left aside; an empty table gives no rows.
     """
     one = F.struct("turn", "rendered", "trained")
     kept = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, one)))
-    held = turns.groupBy("pair_id").agg(*[kept(p).alias(f"_{p}") for p in (PROMPT, CHOSEN, REJECTED)])
+    segment = F.expr(f"turn div {int(block)}").alias("segment")
+    held = turns.groupBy("pair_id", segment).agg(*[kept(p).alias(f"_{p}") for p in (PROMPT, CHOSEN, REJECTED)])
     text = lambda c: F.array_join(F.transform(c, lambda x: x["rendered"]), "")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     step = lambda acc, x: F.struct(
@@ -68,7 +76,7 @@ def assemble(turns: DataFrame) -> DataFrame:
         F.when(x["trained"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x["rendered"])).alias("end"))))).otherwise(acc["out"]).alias("out"),
     )
     mask = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return held.select("pair_id", text("_prompt").alias("prompt"), text("_chosen").alias("chosen"), text("_rejected").alias("rejected"), mask("_chosen").alias("chosen_mask"), mask("_rejected").alias("rejected_mask"))
+    return held.select("pair_id", "segment", text("_prompt").alias("prompt"), text("_chosen").alias("chosen"), text("_rejected").alias("rejected"), mask("_chosen").alias("chosen_mask"), mask("_rejected").alias("rejected_mask"))
 
 
 ORACLE = r"""
@@ -79,9 +87,18 @@ WITH t AS (
     list(coalesce('=' || role, '') || chr(1) || coalesce('=' || text, '') ORDER BY coalesce('=' || role, '') || chr(1) || coalesce('=' || text, '')) FILTER (side = 1) AS r FROM t GROUP BY ALL
 ), cut AS (
   SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS cut FROM a GROUP BY pair_id HAVING count(c) > 0 AND count(r) > 0
+), o AS (
+  SELECT pair_id, turn // 256 AS segment, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, turn,
+    '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered,
+    (cut IS NOT NULL AND turn >= cut AND coalesce(role, 'user') = 'assistant') AS trained
+  FROM t JOIN cut USING (pair_id) WHERE side = 0 OR (cut IS NOT NULL AND turn >= cut)
+), s AS (
+  SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, segment, part ORDER BY turn, rendered, trained ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM o
 )
-SELECT pair_id, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, turn, coalesce(role, 'user') AS role,
-  '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered,
-  (cut IS NOT NULL AND turn >= cut AND coalesce(role, 'user') = 'assistant') AS trained
-FROM t JOIN cut USING (pair_id) WHERE side = 0 OR (cut IS NOT NULL AND turn >= cut)
+SELECT pair_id, segment, coalesce(string_agg(rendered, '' ORDER BY stop) FILTER (part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(rendered, '' ORDER BY stop) FILTER (part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(rendered, '' ORDER BY stop) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg((stop - length(rendered)) || ':' || stop, ',' ORDER BY stop) FILTER (part = 'chosen' AND trained), '') AS chosen_mask,
+  coalesce(string_agg((stop - length(rendered)) || ':' || stop, ',' ORDER BY stop) FILTER (part = 'rejected' AND trained), '') AS rejected_mask
+FROM s GROUP BY pair_id, segment
 """

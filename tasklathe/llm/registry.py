@@ -14,10 +14,12 @@ from .sparkio import durable, table
 
 
 def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n (chosen) and 2n + 1 (rejected) are pair n."""
+    """Conversations 2n (chosen) and 2n + 1 (rejected) are pair n; masks are ``start:end`` spans, comma-joined."""
     turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.expr("conv_id div 2"))
     side = F.pmod(F.col("conv_id"), F.lit(2))
-    return preference_pairs.masked_turns(turns.where(side == 0), turns.where(side == 1))
+    pairs = preference_pairs.assemble(preference_pairs.masked_turns(turns.where(side == 0), turns.where(side == 1)))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
+    return pairs.select("pair_id", "segment", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
