@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbuf
-from .sparkio import width
+from .sparkio import durable, release, width
 from .wordbuf import U64
 
 #: Labelled rows that are learnt from, at most.
@@ -46,6 +46,21 @@ IDENTITY = (
     ("immigrants", "refugees", "migrants", "foreigners", "residents"),
     ("deaf", "blind", "disabled", "paralyzed", "autistic", "tall"),
     ("old", "elderly", "young", "teenage", "adult"),
+    ("femmes", "hommes", "filles", "garçons", "gens"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "croyants"),
+    ("noirs", "blancs", "asiatiques", "africains", "arabes", "européens", "habitants"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels", "personnes"),
+    ("immigrés", "réfugiés", "étrangers", "riverains"),
+    ("frauen", "männer", "mädchen", "jungen", "leute"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken", "gläubige"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "araber", "europäer", "einwohner"),
+    ("homosexuelle", "lesben", "bisexuelle", "heterosexuelle", "personen"),
+    ("einwanderer", "flüchtlinge", "ausländer", "anwohner"),
+    ("mujeres", "hombres", "chicas", "chicos", "gente"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos", "creyentes"),
+    ("negros", "blancos", "asiáticos", "africanos", "árabes", "europeos", "vecinos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales", "personas"),
+    ("inmigrantes", "refugiados", "extranjeros", "residentes"),
 )
 _KIND = {term: kind for kind in IDENTITY for term in kind}
 _TERMS = re.compile(r"\b(" + "|".join(sorted(_KIND, key=len, reverse=True)) + r")\b", re.IGNORECASE)
@@ -192,17 +207,19 @@ def train(own: list[list[int]], other: list[tuple[int, list[int]]], toxic: np.nd
 def fit(labelled: DataFrame, most: int = LABELLED_MOST) -> Model:
     """A model from ``text`` and ``toxic`` (0 or 1) of labelled rows; ``doc_id`` picks the sample where there are more than ``most``.
 
-    Rows without a label are passed over; null texts read as empty.  With no
-    rows, or none of one label, every text scores near the share of toxic rows.
+    Rows without a label are passed over; null texts read as empty.  The rows that
+    are learnt from are read once and stand in the shared folder until the model is
+    made.  Rows that repeat count each; of rows equal in id, as many as the bound
+    leaves room for.  With no rows, or none of one label, every text scores near
+    the share of toxic rows.  Whole texts are learnt from; other columns play no part.
     """
     rows = labelled.where("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if n > most:  # else every row is in the sample, and stays where it is
+    if rows.select("doc_id").count() > most:  # else every row is in the sample, and stays where it is
         rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).repartition(width(labelled.sparkSession))
-        n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows = rows.select("text", "toxic")
+    sample = durable(rows.select("text", "toxic"))
+    n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = min(max(positive / n if n else 0.0, 1e-3), 1 - 1e-3)
-    counts = rows.mapInArrow(_tally, "feature long, texts long, toxic long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where(F.col("texts") >= TEXTS_LEAST)
+    counts = sample.mapInArrow(_tally, "feature long, texts long, toxic long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where(F.col("texts") >= TEXTS_LEAST)
     q = F.col("toxic") / F.col("texts")
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     surprise = F.col("texts") * (part(q, F.lit(share)) + part(1 - q, F.lit(1 - share)))
@@ -211,7 +228,8 @@ def fit(labelled: DataFrame, most: int = LABELLED_MOST) -> Model:
     learnt = np.array([r.feature for r in chosen.select("feature").collect()], dtype=np.int64).view(U64)
     hashes = np.unique(np.concatenate([learnt, _identity_features()]))
     model = Model(hashes, np.zeros(len(hashes)), 0.0)
-    held = rows.mapInArrow(_hit_rows(model), "toxic int, own array<int>, other array<array<int>>").collect()  # at most ``most`` rows of places
+    held = sample.mapInArrow(_hit_rows(model), "toxic int, own array<int>, other array<array<int>>").collect()  # at most ``most`` rows of places
+    release(sample)
     own = [r.own for r in held]
     other = [(i, x) for i, r in enumerate(held) for x in r.other]
     weights, constant = train(own, other, np.array([r.toxic for r in held], dtype=np.float64), len(hashes))
@@ -224,8 +242,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_part(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows that may be learnt from: label columns other than doc_id and toxic, and docs' own, play no part."""
+    """Labelled rows that may be learnt from: label columns other than doc_id and toxic, and docs' own, play no part.
+
+    An id that several label rows give is one label, toxic if any of them says so;
+    documents that share an id share its label.
+    """
     marks = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"))).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_MOST)
     return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
 

@@ -82,3 +82,27 @@ def test_carried_columns(spark):
     frame = spark.createDataFrame([(1, "a", "x", 5)], "doc_id long, text string, score string, feature int").withColumn("tags", F.array(F.lit("t")))
     r = T.score(frame, model).first()
     assert r.feature == 5 and r.tags == ["t"] and isinstance(r.score, float)
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] * 3 + [(5, 1)], "doc_id long, toxic int")
+    found = T.labelled_part(docs, labels).collect()
+    assert len(found) == len({r.doc_id for r in found}) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40))
+    assert {r.doc_id: r.toxic for r in found} == {r.doc_id: int(r.doc_id == 5) for r in found}
+
+
+def test_bound_of_the_sample(spark):
+    rows = corpus(900)
+    frame = spark.createDataFrame(rows + rows[:30], "doc_id long, text string, toxic int")
+    model = T.fit(frame, most=400)
+    plain = " ".join(WORDS[:20])
+    assert scored(spark, model, [plain + " idiot"])[0] >= T.THRESHOLD > scored(spark, model, [plain])[0]
+    again = T.fit(frame, most=400)
+    assert (model.hashes == again.hashes).all() and abs(model.constant - again.constant) < 1e-6
+
+
+def test_terms_of_one_kind_only():
+    terms = [t for kind in T.IDENTITY for t in kind]
+    assert {t for t in terms if terms.count(t) > 1} == set()
+    assert T.swapped("Die Frauen und les musulmans") == ["Die männer und les chrétiens", "Die leute und les croyants"]
