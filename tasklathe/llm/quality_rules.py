@@ -5,7 +5,8 @@ of a least number of words.  The counts are built-in Spark expressions over the
 whole text; ``compiled`` turns the table into one verdict expression.  No user
 functions, no shuffle: each row is judged by itself.
 
-Repetition is counted over windows of eight words.  A text whose window hashes
+Repetition is counted over windows of eight words.  Every word is hashed once, a
+window by its words' hashes.  A text whose window hashes
 are all distinct (most are) is done at once; otherwise the hashes are sorted with
 their positions, equal neighbours give the repeated windows, and one pass over
 those positions adds up the words they cover.
@@ -87,11 +88,12 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def count_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of ``COUNTS`` (long).  Null texts read as empty; columns of those names are replaced."""
     kept = [c for c in docs.columns if c not in COUNTS]
-    t, w, h, s = (F.col(f"__{x}") for x in ("text", "words", "hashes", "sorted"))
+    t, w, m, h, s = (F.col(f"__{x}") for x in ("text", "words", "marks", "hashes", "sorted"))
     out = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text_col], F.lit("")).alias("__text"))
     out = out.withColumns({"__words": F.array_remove(F.split(t, SPACE + "+", -1), ""), "__lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))})
     out = out.withColumn("n_words", F.size(w).cast("long"))
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    out = out.withColumn("__marks", F.transform(w, lambda x: F.xxhash64(x)))
+    windows = F.transform(F.slice(m, 1, F.size(m) - WINDOW + 1), lambda x, i: F.xxhash64(x, *[F.get(m, i + k) for k in range(1, WINDOW)]))
     out = out.withColumn("__hashes", F.when(F.size(w) > WINDOW, windows).otherwise(F.expr("cast(array() as array<bigint>)")))
     placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
     out = out.withColumn("__sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), placed).otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)")))
@@ -103,7 +105,7 @@ def count_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.select(
         *[out[c] for c in kept],
         "n_words",
-        long(F.length(t) - F.regexp_count(t, F.lit(SPACE))).alias("word_chars"),
+        long(F.length(F.array_join(w, ""))).alias("word_chars"),
         long(F.regexp_count(t, F.lit(SYMBOL))).alias("n_symbols"),
         long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         long(covered).alias("n_repeat_words"),
