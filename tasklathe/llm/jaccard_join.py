@@ -109,6 +109,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
 
 
 def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wordbuf.kept("jaccard_join")
     for batch in batches:
         for a, b, sets in _slices(batch.column("text")):
             kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
@@ -154,6 +155,7 @@ def _scatter_sets(ranges: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordbuf.kept("jaccard_join")
         for batch in batches:
             for _, _, sets in _slices(batch.column("text")):
                 keys, first = np.unique(_fingerprints(sets), return_index=True)
@@ -163,7 +165,9 @@ def _scatter_sets(ranges: int):
                 keys = keys[keys != 0]
                 chosen = [sets[i] for i in first]
                 items = np.concatenate(chosen)
-                owners = np.repeat(np.arange(len(chosen)), [len(s) for s in chosen])
+                owners = np.repeat(np.arange(len(chosen), dtype=np.int32), [len(s) for s in chosen])
+                sets.clear()  # their shingles are in ``items`` now
+                del chosen
                 often = _frequent(items)
                 rows = []
                 if often.any():
@@ -220,6 +224,7 @@ def _share(ranges: int):
     """All blocks of a hash range -> its shingles that several classes have, by bucket of the class; counts of frequent ones, by the slices' buckets."""
 
     def run(table: pa.Table) -> pa.Table:
+        wordbuf.kept("jaccard_join")
         part = U64(table.column("part")[0].as_py())
         by_kind: dict[int, list[dict]] = {k: [] for k in range(4)}
         for r in table.to_pylist():
@@ -259,6 +264,7 @@ def _attach(ranges: int):
     """A bucket's waiting postings and the counts of their shingles -> postings by bucket of the class."""
 
     def run(table: pa.Table) -> pa.Table:
+        wordbuf.kept("jaccard_join")
         told = [r for r in table.to_pylist() if r["kind"] == FREQUENT]
         item, first = np.unique(_joined([r["items"] for r in told], U64), return_index=True)
         spread = _joined([r["spread"] for r in told], np.uint32)[first]
@@ -274,6 +280,7 @@ def _class_sizes(ranges: int):
     """Classes' sizes as blocks by their bucket; copies of a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordbuf.kept("jaccard_join")
         for batch in batches:
             key, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(U64), return_index=True)
             size = batch.column(1).to_numpy(zero_copy_only=False)[first].astype(np.uint32)
@@ -291,6 +298,7 @@ _CLASS_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("shared", pa.
 
 def _gather(table: pa.Table) -> pa.Table:
     """All blocks of a bucket of classes -> the classes that can have a partner, shingles from rare to common."""
+    wordbuf.kept("jaccard_join")
     kind = table.column("kind").to_numpy()
     rows = table.to_pylist()
     posts, heads = ([r for r, k in zip(rows, kind, strict=True) if k == wanted] for wanted in (POSTED, SIZES))
@@ -332,6 +340,7 @@ def boundary(histogram: list[tuple[int, int, int, int]]) -> int:
 
 def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small classes -> one row for each of their subsets of the sizes that a partner calls for."""
+    wordbuf.kept("jaccard_join")
     chosen: dict[tuple[int, int], np.ndarray] = {}
     schema = pa.schema([("subset", pa.int64()), ("key", pa.int64()), ("smaller", pa.bool_())])
     for batch in batches:

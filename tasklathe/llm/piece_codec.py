@@ -281,15 +281,13 @@ class PieceCodec:
                 raise ValueError(f"ids or decoded text differ from the sentencepiece library for {text[:80]!r}")
 
 
-_CODECS: dict[bytes, PieceCodec] = {}
-
-
 def _codec(model: bytes) -> PieceCodec:
-    """The worker's codec of a model, kept with its cuts from task to task."""
-    if model not in _CODECS:
-        _CODECS.clear()
-        _CODECS[model] = PieceCodec(model)
-    return _CODECS[model]
+    """The worker's codec of a model, kept with its cuts from task to task until the worker serves another operator."""
+    codecs = wordbuf.kept("piece_codec")
+    if model not in codecs:
+        codecs.clear()
+        codecs[model] = PieceCodec(model)
+    return codecs[model]
 
 
 def _run(model: bytes, text_col: str, checked: bool):

@@ -125,6 +125,7 @@ class Model:
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature -> number of texts that have it, and of toxic ones among them, block by block."""
+    wordbuf.kept("toxicity")
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b, data, offsets in wordbuf.pieces(batch.column("text")):
@@ -149,6 +150,7 @@ def _hit_rows(model: Model):
         return [feature[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordbuf.kept("toxicity")
         for batch in batches:
             column = batch.column("text").fill_null("")
             for a, b, _, _ in wordbuf.pieces(column):
@@ -255,6 +257,7 @@ def labelled_part(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _score(model: Model, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordbuf.kept("toxicity")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column("text")))], names=[*batch.schema.names, out])
         wordbuf.give_back()

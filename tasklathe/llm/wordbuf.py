@@ -13,6 +13,7 @@ the word's length by a bijective finaliser.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,21 @@ def give_back() -> None:
         trim(0)
 
 
+#: What a worker keeps from task to task, by the operator that keeps it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this worker keeps from task to task for ``operator``; what it kept for any other goes, its memory to the system."""
+    others = [x for x in _KEPT if x != operator]
+    if others:
+        for other in others:
+            del _KEPT[other]
+        gc.collect()
+        give_back()
+    return _KEPT.setdefault(operator, {})
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each row the index of its first word (one more at the end).
 

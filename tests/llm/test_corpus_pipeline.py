@@ -1,9 +1,12 @@
+import weakref
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tasklathe.llm import registry
+from tasklathe.llm import jaccard_join, piece_codec, registry, toxicity
 from tasklathe.llm.sparkio import rewritten, table
 
 from .test_jaccard_join import brute as components
@@ -75,3 +78,33 @@ def test_edge_documents(spark, tmp_path):
         got = docs.select("doc_id", F.col("text").substr(1, 10).alias("t")).collect()
         assert (len(got) > 0) == (len(some) > 0)
         assert len({r.t for r in got if r.t and r.t.startswith("a b c")}) <= 1
+
+
+MODEL = toxicity.Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0)
+BATCH = pa.RecordBatch.from_pydict({"text": ["a b c d e f g", "a b c d e f g h", None], "toxic": pa.array([0, 1, 0], pa.int32())})
+BLOCKS = pa.Table.from_batches(jaccard_join._scatter_sets(1)(iter([BATCH])))
+SIZED = pa.RecordBatch.from_pydict({"set_key": [1, 2], "n_shingles": [3, 4]})
+CLASSES = pa.RecordBatch.from_pydict({"key": [1], "n": [1], "items": [[5]]})
+TASKS = {
+    "tally": lambda: list(toxicity._tally(iter([BATCH]))),
+    "hits": lambda: list(toxicity._hit_rows(MODEL)(iter([BATCH]))),
+    "score": lambda: list(toxicity._score(MODEL, "score")(iter([BATCH]))),
+    "identify": lambda: list(jaccard_join._identify(iter([BATCH]))),
+    "scatter": lambda: list(jaccard_join._scatter_sets(1)(iter([BATCH]))),
+    "share": lambda: jaccard_join._share(1)(BLOCKS),
+    "attach": lambda: jaccard_join._attach(1)(BLOCKS.slice(0, 0)),
+    "sizes": lambda: list(jaccard_join._class_sizes(1)(iter([SIZED]))),
+    "gather": lambda: jaccard_join._gather(BLOCKS.slice(0, 0)),
+    "enumerate": lambda: list(jaccard_join._enumerate(iter([CLASSES]))),
+}
+
+
+@pytest.mark.parametrize("task", TASKS)
+def test_a_worker_keeps_the_codec_for_its_own_stage_only(task):
+    """Workers outlive a stage; the codec's remembered cuts don't stay beside another stage's data."""
+    with open(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    codec = weakref.ref(piece_codec._codec(model))
+    assert codec() is not None and piece_codec._codec(model) is codec()
+    TASKS[task]()
+    assert codec() is None
