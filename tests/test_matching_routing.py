@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,56 @@ def test_circuit_breaker():
     assert circuit.call(11_000, False, True) == (1, "failed") and circuit.opened == 2
     assert circuit.call(21_000, True, True) == (1, "ok") and circuit.state == "closed" and circuit.failures == 0
     assert circuit.call(22_000, False, True) == (2, "ok")
+
+
+CALL = "addr string, seq long, at_ms long, first_ok boolean, retry_ok boolean"
+
+
+def folded(rows):
+    """The outcome of every call, address by address, one call after another."""
+    circuits, out = {}, []
+    for addr, seq, at, first_ok, retry_ok in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, *((x is not None, x or 0) for x in r[2:]))):
+        circuit = circuits.setdefault(addr, C.Circuit())
+        out.append((addr, seq, *circuit.call(float("nan") if at is None else at, first_ok, retry_ok), circuit.state, circuit.opened))
+    return sorted(out, key=repr)
+
+
+def test_an_addresss_calls_are_spread_over_tasks(spark):
+    n = F.col("id")
+    calls = spark.range(300_000).select(F.lit("a").alias("addr"), n.alias("seq"), (n * 900).alias("at_ms"), (n % 5 < 2).alias("first_ok"), (n % 11 == 0).alias("retry_ok"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = C.forward_calls(calls).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set(coalesce, before)
+    assert got.task.nunique() > 1
+    want = folded([("a", i, i * 900, i % 5 < 2, i % 11 == 0) for i in range(300_000)])
+    assert sorted(got.drop(columns="task").itertuples(index=False, name=None), key=repr) == want
+
+
+@pytest.mark.parametrize("bits", [0, 2, 16])
+def test_blocks_of_calls_give_what_one_by_one_gives(spark, monkeypatch, bits):
+    """Any circuit before a block; times that go back, repeat or are missing; numbers far apart, negative, repeated or missing."""
+    monkeypatch.setattr(C, "BLOCK_BITS", bits)
+    draw, rows = random.Random(bits), []
+    for addr, ok, step in [("a", 0.3, (0, 4000)), ("b", 0.0, (0, 1)), ("c", 0.2, (-9000, 10_000)), ("d", 0.5, (9_999, 10_201)), (None, 0.1, (0, 900))]:
+        seq, at = -20, 0
+        for _ in range(150):
+            seq, at = seq + draw.choice([0, 1, 1, 1, 1, 1 << 40]), at + draw.randint(*step)
+            rows.append((addr, None if draw.random() < 0.02 else seq, None if addr == "c" and draw.random() < 0.02 else at, draw.random() < ok, draw.choice([True, False, False, None])))
+    got = C.forward_calls(spark.createDataFrame(rows, CALL)).collect()
+    assert sorted(map(tuple, got), key=repr) == folded(rows)
+    assert any(r.outcome == "refused" for r in got) and any(r.circuit == "closed" for r in got)
+    assert C.forward_calls(spark.createDataFrame([], CALL)).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "double"])
+def test_times_of_any_number_type(spark, kind):
+    """A retry after the type's last number; a break that ends on a fraction."""
+    most = {"smallint": 2**15 - 1, "int": 2**31 - 1, "double": 10_400.5}[kind]
+    rows = [("a", 0, 0, False, False), ("a", 70_000, most, False, False), ("a", 140_000, most, True, True)]
+    rows = [(a, seq, float(at) if kind == "double" else at, *tries) for a, seq, at, *tries in rows]
+    got = C.forward_calls(spark.createDataFrame(rows, CALL.replace("at_ms long", f"at_ms {kind}"))).collect()
+    assert sorted(map(tuple, got), key=repr) == folded(rows)
